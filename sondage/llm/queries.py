@@ -10,6 +10,7 @@ from ..sources.tables import table
 from .champions import champion_lists
 from .distinctive import distinctive_terms, dominant_terms
 from .frequencies import term_frequencies
+from .neighbours import nearest_vectors
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -45,4 +46,14 @@ def p4_champions(spark: SparkSession, d: str) -> DataFrame:
     return champion_lists(table(spark, d, "postings"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest_vectors(table(spark, d, "points"), "point_id", "coords", 16, 5, max_distance=1.0)
+    pair = F.least("item", "neighbour").alias("point_id_a"), F.greatest("item", "neighbour").alias("point_id_b")
+    return near.select(*pair).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors(table(spark, d, "points"), "point_id", "coords", 16, 5, max_probes=24).select(F.col("item").alias("point_id"), "neighbour", "rank", F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours)}

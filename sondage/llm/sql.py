@@ -26,6 +26,14 @@ _CHAMPIONS = f"""
     SELECT term, doc_id, tf, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC, doc_id) AS rank FROM ({_CURRENT})) WHERE rank <= 8"""
 
+_NEAREST = """
+    WITH v AS (SELECT DISTINCT point_id, coords FROM points WHERE coords IS NOT NULL AND len(coords) = 16
+               AND len(list_filter(coords, lambda x: x IS NOT NULL AND isfinite(x))) = 16),
+    ranked AS (SELECT a.point_id AS a, b.point_id AS b, list_distance(a.coords, b.coords) AS dist,
+                      row_number() OVER (PARTITION BY a.point_id ORDER BY list_distance(a.coords, b.coords), b.point_id) AS rn
+               FROM v a JOIN v b ON a.point_id <> b.point_id)
+    SELECT * FROM ranked WHERE rn <= 5"""
+
 ORACLES = {
     "p1_found": f"SELECT term, mark FROM ({_FREQUENCIES}) WHERE mark IS NOT NULL",
     "p1_terms": _FREQUENCIES,
@@ -33,4 +41,5 @@ ORACLES = {
     "p3_distinctive": f"SELECT doc_id, term, tf, df, round(weight, 6) AS weight, round(norm, 6) AS norm, round(log_odds, 6) AS log_odds, round(z, 6) AS z FROM ({_SCORED})",
     "p4_found": f"SELECT term, doc_id FROM ({_CHAMPIONS})",
     "p4_champions": _CHAMPIONS,
+    "p5_found": f"SELECT DISTINCT least(a, b) AS point_id_a, greatest(a, b) AS point_id_b FROM ({_NEAREST}) WHERE dist <= 1.0",
 }
