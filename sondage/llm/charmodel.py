@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 
 #: Buckets of trigrams, bigrams and single characters: the whole model has this size whatever it is trained on.
 BUCKETS = (1 << 20, 1 << 18, 1 << 16)
 _EDGE = "\x02\x02"
+_MARKUP = re.compile(r"<[^<>]*>|\[\d+\]|[*_#]")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 
+def plain(word: str) -> str:
+    """The form that is scored: without markup, words wholly in capitals in small letters, no-break spaces as word ends."""
+    word = _MARKUP.sub("", word)
+    if len(word) > 1 and word.isupper():
+        word = word.lower()
+    return word.replace("\xa0", _EDGE)
+
+
 def codes_of(words: list[str]) -> np.ndarray:
-    """Code points of the words, each after two edge marks, and two marks more at the end."""
+    """Code points of the (plain) words, each after two edge marks, and two marks more at the end."""
     return np.frombuffer((_EDGE + _EDGE.join(words) + _EDGE).translate(_DIGITS).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _hash(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def _pairs(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _hash(b.astype(np.uint64) << np.uint64(21) | c, BUCKETS[1])
+
+
 def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    return (a * np.uint32(73856093) ^ b * np.uint32(19349663) ^ c * np.uint32(83492791)) >> np.uint32(7) & np.uint32(BUCKETS[0] - 1), (b * np.uint32(40503) ^ c * np.uint32(2654435761)) >> np.uint32(5) & np.uint32(BUCKETS[1] - 1), c & np.uint32(BUCKETS[2] - 1)
+    a, b, c = codes[:-2].astype(np.uint64), codes[1:-1].astype(np.uint64), codes[2:].astype(np.uint64)
+    return _hash(a << np.uint64(42) | b << np.uint64(21) | c, BUCKETS[0]), _pairs(b, c), (c & np.uint64(BUCKETS[2] - 1)).astype(np.int64)
 
 
 def counts_of(words: list[str], into: list[np.ndarray]) -> None:
     """Adds the words' counts to the tables for trigrams, bigrams and characters."""
-    for table, at in zip(into, _buckets(codes_of(words)), strict=True):
+    for table, at in zip(into, _buckets(codes_of([plain(w) for w in words])), strict=True):
         table += np.bincount(at, minlength=len(table)).astype(table.dtype)
 
 
@@ -35,15 +55,19 @@ class CharModel:
 
     def __init__(self, counts: list[np.ndarray], strength: float = 2.0):
         self.tables = [c.astype(np.float32) for c in counts]
-        self.total, self.strength = float(counts[2].sum()), strength
+        total, self.strength = float(counts[2].sum()), strength
+        # letters of the scripts at hand may be unseen, yet are likelier than unseen symbols
+        letters = np.array([c < 0x0530 and unicodedata.category(chr(c))[0] == "L" for c in range(BUCKETS[2])])
+        seen = counts[2] + np.where(letters, 1 + 2e-6 * total, 0.05)
+        self.p1 = (seen / seen.sum()).astype(np.float32)
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """log P of each character from the third on, given the two before it."""
         tri, bi, uni = _buckets(codes)
-        before = np.concatenate([codes[1:2] & np.uint32(BUCKETS[2] - 1), uni[:-1]])
-        pair_before = np.concatenate([((codes[0:1] * np.uint32(40503) ^ codes[1:2] * np.uint32(2654435761)) >> np.uint32(5)) & np.uint32(BUCKETS[1] - 1), bi[:-1]])
+        before = np.concatenate([(codes[1:2] & np.uint32(BUCKETS[2] - 1)).astype(np.int64), uni[:-1]])
+        pair_before = np.concatenate([_pairs(codes[:1], codes[1:2].astype(np.uint64)), bi[:-1]])
         s = self.strength
-        p1 = (self.tables[2][uni] + 0.05) / (self.total + 0.05 * BUCKETS[2])
+        p1 = self.p1[uni]
         p2 = (self.tables[1][bi] + s * p1) / (self.tables[2][before] + s)
         return np.log((self.tables[0][tri] + s * p2) / (np.maximum(self.tables[1][pair_before], self.tables[0][tri]) + s))
 
@@ -51,6 +75,7 @@ class CharModel:
         """log P of each word with its ends."""
         if not words:
             return np.zeros(0)
+        words = [plain(w) for w in words]
         each = self.log_p(codes_of(words))
         # a word's characters and the first mark after it are its own, the second mark is next to certain
         starts = np.concatenate([[0], np.cumsum([len(w) + 2 for w in words])])[:-1]

@@ -9,6 +9,7 @@ from ..operators.postings import current_postings, record_count
 from ..sources.tables import table
 from .champions import champion_lists
 from .distinctive import distinctive_terms, dominant_terms
+from .encodings import repair_texts
 from .frequencies import term_frequencies
 from .neighbours import nearest_vectors
 
@@ -56,4 +57,12 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest_vectors(table(spark, d, "points"), "point_id", "coords", 16, 5, max_probes=24).select(F.col("item").alias("point_id"), "neighbour", "rank", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"), "status", "chains", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours, p8_found, p8_restored)}
