@@ -12,6 +12,7 @@ from .distinctive import distinctive_terms, dominant_terms
 from .encodings import repair_texts
 from .frequencies import term_frequencies
 from .neighbours import nearest_vectors
+from .packing import pack_texts, split_items
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +58,14 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest_vectors(table(spark, d, "points"), "point_id", "coords", 16, 5, max_probes=24).select(F.col("item").alias("point_id"), "neighbour", "rank", F.round("distance", 6).alias("distance"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(pack_texts(table(spark, d, "documents"), "doc_id")).select(F.col("item").alias("doc_id"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"), "doc_id").select("container", F.col("item").alias("doc_id"), "token_from", "token_to")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"))
 
@@ -65,4 +74,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"), "status", "chains", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours, p6_found, p6_containers, p8_found, p8_restored)}

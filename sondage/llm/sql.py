@@ -42,4 +42,5 @@ ORACLES = {
     "p4_found": f"SELECT term, doc_id FROM ({_CHAMPIONS})",
     "p4_champions": _CHAMPIONS,
     "p5_found": f"SELECT DISTINCT least(a, b) AS point_id_a, greatest(a, b) AS point_id_b FROM ({_NEAREST}) WHERE dist <= 1.0",
+    "p6_found": "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё_-]+')) > 512",
 }
