@@ -11,6 +11,7 @@ from .champions import champion_lists
 from .distinctive import distinctive_terms, dominant_terms
 from .encodings import repair_texts
 from .frequencies import term_frequencies
+from .leakage import find_leaks
 from .neighbours import nearest_vectors
 from .packing import pack_texts, split_items
 
@@ -66,6 +67,15 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"), "doc_id").select("container", F.col("item").alias("doc_id"), "token_from", "token_to")
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    found = find_leaks(table(spark, d, "documents"), "doc_id", table(spark, d, "eval_items"), "item_id")
+    return found.select(F.col("item").alias("doc_id"), F.col("eval_item").alias("item_id"), "words")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"))
 
@@ -74,4 +84,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair_texts(table(spark, d, "documents"), "doc_id").select(F.col("item").alias("doc_id"), "status", "chains", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours, p6_found, p6_containers, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_distinctive, p4_found, p4_champions, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_restored)}
