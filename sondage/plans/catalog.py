@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.analysis import BOOLEAN, DATED, ENGLISH_STOP_WORDS, POSITIONAL, RANKED, RUSSIAN_STOP_WORDS, token_table
+from ..functions.porter import stems
 from ..functions.terms import normal_term
+from ..operators import boolean, kv, positional, ranking, spatial, substring, temporal
 from ..operators.hotkeys import distinct_per_key, heavy_keys, keyed_aggregate
-from ..sources.tables import table
+from ..sources.store import load_table, save_table
+from ..sources.tables import checkpoint_dir, table
+from ..streaming.ingest import ingest_postings
 
 QUERIES = {}
 ORACLES = {}
@@ -53,3 +61,509 @@ def p2_term_stats(spark: SparkSession, d: str) -> DataFrame:
     size = F.when(F.col("positions").isNotNull(), F.size("positions"))
     stats = keyed_aggregate(rows, "term", [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("n_positions")])
     return stats.join(distinct_per_key(rows, "term", "doc_id", "n_docs"), "term", "left").fillna(0, ["n_docs"]).select("term", "n_rows", "n_docs", "n_positions")
+
+
+# Text analysis (T) ---------------------------------------------------------------------------------------------------
+
+_EN = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+_ALL_STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS + RUSSIAN_STOP_WORDS)
+_WORD = POSITIONAL.pattern
+
+
+def _tokens_sql(source: str, terms: str) -> str:
+    return f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS term FROM (SELECT doc_id, {terms} AS l FROM {source} WHERE text IS NOT NULL)"
+
+
+def _pre(pattern: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(text), '{pattern}'), lambda x: x NOT IN ({_EN}))"
+
+
+_RAW = f"list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x))"
+_NO_STOP = f"list_filter({_RAW}, lambda x: x NOT IN ({_ALL_STOP}))"
+
+
+@query(_tokens_sql("documents", _pre("[A-Za-z0-9_]+")))
+def t_tokens_ascii(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"), BOOLEAN.without_stems())
+
+
+@query(_tokens_sql("documents", _pre("[A-Za-z0-9_-]+")))
+def t_tokens_hyphen(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"), DATED.without_stems())
+
+
+@query(_tokens_sql("documents", _RAW))
+def t_tokens_cyrillic(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"), POSITIONAL.without_stems())
+
+
+@query(_tokens_sql("documents", _NO_STOP))
+def t_tokens_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"), RANKED.without_stems())
+
+
+@query()
+def t_stem_vocab(spark: SparkSession, d: str) -> DataFrame:
+    words = token_table(table(spark, d, "documents"), POSITIONAL.without_stems()).select("term").distinct()
+    return words.select("term", F.get(stems(F.array("term")), F.lit(0)).alias("stem"))
+
+
+@query()
+def t_tokens_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(table(spark, d, "documents"), RANKED)
+
+
+# Records of the index domain -------------------------------------------------------------------------------------------
+
+_DOCS = """docs AS (SELECT doc_id, text, start_date, end_date FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
+    loaded_at DESC NULLS LAST, text DESC NULLS LAST, start_date DESC NULLS LAST, end_date DESC NULLS LAST) AS rn FROM dated_docs) WHERE rn = 1)"""
+_PLAIN = DATED.without_stems()
+_WORDS = POSITIONAL.without_stems()
+_RANK = RANKED.without_stems()
+_BOOL = f"WITH {_DOCS}, post AS (SELECT DISTINCT term, doc_id FROM ({_tokens_sql('docs', _pre('[A-Za-z0-9_-]+'))}))"
+_POS = f"WITH {_DOCS}, tok AS ({_tokens_sql('docs', _RAW)})"
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Records as last delivered: (doc_id, text, start_date, end_date)."""
+    last = table(spark, d, "dated_docs").groupBy("doc_id").agg(F.max(F.struct("loaded_at", "text", "start_date", "end_date")).alias("r"))
+    return last.select("doc_id", "r.text", "r.start_date", "r.end_date")
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.boolean_postings(records(spark, d), _PLAIN)
+
+
+# Boolean retrieval (B) -------------------------------------------------------------------------------------------------
+
+
+@query(f"{_BOOL} SELECT doc_id FROM post WHERE term = 'index'")
+def b_term(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_term(_postings(spark, d), "index")
+
+
+@query(f"{_BOOL} SELECT doc_id FROM post WHERE term = 'index' INTERSECT SELECT doc_id FROM post WHERE term = 'search' INTERSECT SELECT doc_id FROM post WHERE term = 'query'")
+def b_and(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_and(_postings(spark, d), "index", "search", "query", "index")
+
+
+@query(f"{_BOOL} SELECT DISTINCT doc_id FROM post WHERE term IN ('bloom', 'interval')")
+def b_or(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_or(_postings(spark, d), "bloom", "interval")
+
+
+@query(f"{_BOOL} SELECT doc_id FROM post WHERE term = 'search' EXCEPT SELECT doc_id FROM post WHERE term = 'index'")
+def b_and_not(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_and_not(_postings(spark, d), "search", "index")
+
+
+_FLAGS = "f AS (SELECT doc_id, bool_or(term = 'index') AS i, bool_or(term = 'search') AS s, bool_or(term = 'bloom') AS b, bool_or(term = 'query') AS q FROM post GROUP BY doc_id), g AS (SELECT docs.doc_id, start_date, end_date, coalesce(i, false) AS i, coalesce(s, false) AS s, coalesce(b, false) AS b, coalesce(q, false) AS q FROM docs LEFT JOIN f ON docs.doc_id = f.doc_id)"
+_TREE = ("OR", ("AND", ("OR", "index", ("TERM", "search")), "bloom"), ("AND_NOT", "query", "index"))
+
+
+@query(f"{_BOOL}, {_FLAGS} SELECT doc_id FROM g WHERE ((i OR s) AND b) OR (q AND NOT i)")
+def b_tree(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_tree(records(spark, d), _postings(spark, d), _TREE, _PLAIN)
+
+
+@query(f"{_BOOL}, {_FLAGS} SELECT doc_id FROM g WHERE NOT (i OR s)")
+def b_not(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_tree(records(spark, d), _postings(spark, d), ("NOT", ("OR", "index", "search")), _PLAIN)
+
+
+@query(
+    f"""{_BOOL}, {_FLAGS} SELECT doc_id FROM g WHERE ((i AND start_date <= DATE '2023-06-30' AND coalesce(end_date, DATE '9999-12-31') >= DATE '2023-06-01')
+    OR (s AND start_date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31')) AND start_date <= DATE '2024-09-30'"""
+)
+def b_tree_dates(spark: SparkSession, d: str) -> DataFrame:
+    tree = ("OR", ("AND", "index", ("DATE", "2023-06-01", "2023-06-30", "valid")), ("AND_DATE", "search", "2024-01-01", "2024-12-31", "appeared"))
+    return boolean.query_tree(records(spark, d), _postings(spark, d), tree, _PLAIN, end="2024-09-30")
+
+
+@query(f"{_BOOL} SELECT p.doc_id FROM post p JOIN docs USING (doc_id) WHERE term = 'index' AND start_date <= DATE '2023-03-31' AND coalesce(end_date, DATE '9999-12-31') >= DATE '2023-03-01'")
+def b_and_date(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.query_tree(records(spark, d), _postings(spark, d), ("AND", "index"), _PLAIN, "2023-03-01", "2023-03-31")
+
+
+@query(f"{_BOOL} SELECT DISTINCT term, doc_id FROM post WHERE doc_id % 2 = 0 UNION SELECT term, doc_id FROM post WHERE doc_id % 3 = 0")
+def b_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _postings(spark, d)
+    return boolean.merge_postings(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 = 0"))
+
+
+@query(f"{_BOOL} SELECT term, count(*) AS df FROM post GROUP BY term")
+def b_term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return _postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+# Dates (D) -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date <= DATE '2023-12-31' AND coalesce(end_date, DATE '9999-12-31') >= DATE '2023-12-01'")
+def d_valid(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.docs_by_date(records(spark, d), "2023-12-01", "2023-12-31")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date BETWEEN DATE '2023-12-01' AND DATE '2023-12-31'")
+def d_appeared(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.docs_by_date(records(spark, d), "2023-12-01", "2023-12-31", "appeared")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date <= DATE '2022-06-30'")
+def d_open_start(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.docs_by_date(records(spark, d), None, "2022-06-30")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date IS NOT NULL AND coalesce(end_date, DATE '9999-12-31') >= DATE '2025-01-01'")
+def d_open_end(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.docs_by_date(records(spark, d), "2025-01-01")
+
+
+_MONTHS = [(12 * (y - 2022) + m, f"{y}-{m:02d}-01", f"{y}-{m:02d}-28") for y in (2022, 2023, 2024) for m in range(1, 13)]
+
+
+@query(
+    f"""WITH {_DOCS}, w AS (SELECT * FROM (VALUES {", ".join(f"({q}, DATE '{a}', DATE '{b}')" for q, a, b in _MONTHS)}) v(query_id, lo, hi))
+    SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n FROM w JOIN docs ON start_date <= hi AND coalesce(end_date, DATE '9999-12-31') >= lo GROUP BY query_id"""
+)
+def d_windows(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.window_overlaps(records(spark, d), _MONTHS).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date < DATE '2023-07-15'")
+def d_bitslice_lt(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.sliced_start_before(records(spark, d), "2023-07-15")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date BETWEEN DATE '2022-11-01' AND DATE '2023-07-15'")
+def d_bitslice_between(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.sliced_start_between(records(spark, d), "2022-11-01", "2023-07-15")
+
+
+# Phrases (P) -----------------------------------------------------------------------------------------------------------
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_table(records(spark, d), _WORDS)
+
+
+_PHRASE = f"{_POS}, hit AS (SELECT a.doc_id, a.pos AS start FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'search' AND b.term = 'index')"
+
+
+@query(f"{_PHRASE} SELECT doc_id, start FROM hit")
+def ph_positions(spark: SparkSession, d: str) -> DataFrame:
+    return positional.phrase_positions(_tokens(spark, d), _WORDS.of_query("search index"))
+
+
+@query(f"{_PHRASE} SELECT DISTINCT doc_id FROM hit")
+def ph_docs(spark: SparkSession, d: str) -> DataFrame:
+    return positional.search_phrase(_tokens(spark, d), _WORDS.of_query("Search INDEX"))
+
+
+@query(f"{_PHRASE} SELECT doc_id, count(*) AS cnt FROM hit GROUP BY doc_id")
+def ph_count(spark: SparkSession, d: str) -> DataFrame:
+    return positional.count_phrase(_tokens(spark, d), ["search", "index"])
+
+
+@query(f"{_POS} SELECT a.doc_id, a.pos AS start FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'index' AND b.term = 'index'")
+def ph_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return positional.phrase_positions(_tokens(spark, d), ["index", "index"])
+
+
+@query(
+    f"""{_POS}, b(query_id, x, y) AS (VALUES (1, 'search', 'index'), (2, 'index', 'of'), (3, 'of', 'the'))
+    SELECT CAST(query_id AS BIGINT) AS query_id, s.doc_id, s.pos AS start FROM b JOIN tok s ON s.term = x JOIN tok t ON t.term = y AND t.doc_id = s.doc_id AND t.pos = s.pos + 1"""
+)
+def ph_batch(spark: SparkSession, d: str) -> DataFrame:
+    return positional.phrase_batch(_tokens(spark, d), [(1, ["search", "index"]), (2, ["index", "of"]), (3, ["of", "the"])])
+
+
+@query(f"{_POS} SELECT doc_id, pos FROM tok WHERE term = 'search'")
+def ph_term_positions(spark: SparkSession, d: str) -> DataFrame:
+    return positional.get_positions(_tokens(spark, d), "search")
+
+
+@query(f"{_POS} SELECT term, doc_id, list(pos ORDER BY pos) AS positions, CAST(count(*) AS INTEGER) AS tf FROM tok GROUP BY term, doc_id")
+def ph_postings(spark: SparkSession, d: str) -> DataFrame:
+    return positional.positional_postings(_tokens(spark, d))
+
+
+# Ranking (R) -----------------------------------------------------------------------------------------------------------
+
+_STATS = f"""WITH {_DOCS}, n AS (SELECT greatest(count(*), 1) AS n FROM docs), tf AS (SELECT term, doc_id, count(*) AS tf FROM ({_tokens_sql('docs', _NO_STOP)}) GROUP BY term, doc_id),
+    st AS (SELECT term, count(*) AS df, ln((max(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term),
+    wt AS (SELECT tf.term, doc_id, tf, idf, (1 + ln(tf)) * idf AS w FROM tf JOIN st USING (term)),
+    nm AS (SELECT doc_id, sum(tf) AS length, sqrt(sum(w * w)) AS norm FROM wt GROUP BY doc_id)"""
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    docs = records(spark, d)
+    return ranking.term_weights(ranking.term_counts(docs, _RANK), ranking.document_count(docs))
+
+
+@query(f"{_STATS} SELECT term, df, round(idf, 9) AS idf FROM st")
+def r_df_idf(spark: SparkSession, d: str) -> DataFrame:
+    docs = records(spark, d)
+    return ranking.term_stats(ranking.term_counts(docs, _RANK), ranking.document_count(docs)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"{_STATS} SELECT term, doc_id, tf, round(w, 9) AS w FROM wt")
+def r_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _weights(spark, d).select("term", "doc_id", "tf", F.round("w", 9).alias("w"))
+
+
+@query(f"{_STATS} SELECT docs.doc_id, CAST(coalesce(length, 0) AS BIGINT) AS length, round(coalesce(norm, 0), 6) AS norm FROM docs LEFT JOIN nm ON docs.doc_id = nm.doc_id")
+def r_norms(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.doc_stats(records(spark, d), _weights(spark, d)).select("doc_id", "length", F.round("norm", 6).alias("norm"))
+
+
+_QUERY = "index поиск query bloom index"
+_QW = "q(term, qtf) AS (VALUES ('index', 2), ('поиск', 1), ('query', 1), ('bloom', 1)), qw AS (SELECT q.term, (1 + ln(qtf)) * idf AS wq FROM q JOIN st USING (term)), sc AS (SELECT doc_id, sum(wq * w) AS score FROM qw JOIN wt USING (term) GROUP BY doc_id)"
+
+
+def _ranked(spark: SparkSession, d: str, model: str, inexact: bool = False, k: int = 10) -> DataFrame:
+    weights = _weights(spark, d)
+    q = ranking.query_table(weights, [(0, _QUERY)], _RANK)
+    norms = ranking.doc_stats(records(spark, d), weights)
+    return ranking.search(q, weights, norms, k, model, inexact).select("doc_id", "score", "rank")
+
+
+@query(f"{_STATS}, {_QW} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, round(score, 9) AS score FROM sc) ORDER BY score DESC, doc_id LIMIT 10")
+def r_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d, "tfidf")
+
+
+@query(
+    f"""{_STATS}, {_QW}, cs AS (SELECT sc.doc_id, round(score / norm / (SELECT sqrt(sum(wq * wq)) FROM qw), 9) AS score FROM sc JOIN nm USING (doc_id))
+    SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs ORDER BY score DESC, doc_id LIMIT 10"""
+)
+def r_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d, "vector")
+
+
+_TIERS = "rk AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(w, 12) DESC, doc_id) AS rn FROM wt)"
+
+
+@query(f"{_STATS}, {_TIERS} SELECT term, doc_id, CASE WHEN rn <= 8 THEN 'hot' WHEN rn <= 16 THEN 'warm' ELSE 'cold' END AS tier FROM rk")
+def r_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.tiers(_weights(spark, d)).select("term", "doc_id", "tier")
+
+
+_INEXACT = f"""{_STATS}, {_TIERS}, {{q}}, h AS (SELECT query_id, doc_id, min(CASE WHEN rn <= 8 THEN 0 WHEN rn <= 16 THEN 1 ELSE 2 END) AS step, min((tp, rn)) AS place FROM qq JOIN rk USING (term) GROUP BY query_id, doc_id),
+    c AS (SELECT *, count(*) FILTER (WHERE step = 0) OVER (PARTITION BY query_id) AS hot, count(*) FILTER (WHERE step <= 1) OVER (PARTITION BY query_id) AS near,
+          row_number() OVER (PARTITION BY query_id ORDER BY step > 1, place, doc_id) AS o FROM h),
+    cand AS (SELECT query_id, doc_id FROM c WHERE CASE WHEN hot >= {{k}} THEN step = 0 WHEN near >= {{k}} THEN step <= 1 ELSE step <= 1 OR o <= {{t}} END)"""
+_QQ = "qq(query_id, term, tp) AS (VALUES (0, 'index', 0), (0, 'bloom', 1), (1, 'search', 0))"
+
+
+@query(_INEXACT.format(q=_QQ, k=30, t=90) + " SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM cand")
+def r_inexact_candidates(spark: SparkSession, d: str) -> DataFrame:
+    weights = _weights(spark, d)
+    return ranking.inexact_candidates(ranking.query_table(weights, [(0, "index bloom"), (1, "search")], _RANK), weights, 30)
+
+
+_QX = "qq(query_id, term, tp) AS (VALUES (0, 'index', 0), (0, 'поиск', 1), (0, 'query', 2), (0, 'bloom', 3))"
+
+
+@query(
+    _INEXACT.format(q=_QX, k=10, t=30)
+    + f""", {_QW}, cs AS (SELECT sc.doc_id, round(score / norm / (SELECT sqrt(sum(wq * wq)) FROM qw), 9) AS score FROM sc JOIN nm USING (doc_id) WHERE sc.doc_id IN (SELECT doc_id FROM cand))
+    SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs ORDER BY score DESC, doc_id LIMIT 10"""
+)
+def r_inexact_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d, "vector", inexact=True)
+
+
+@query(
+    f"""{_STATS}, qt AS (SELECT query_id, unnest({_NO_STOP.replace('text', 'query')}) AS term FROM rank_queries), q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY 1, 2),
+    qw AS (SELECT query_id, q.term, (1 + ln(qtf)) * idf AS wq FROM q JOIN st USING (term)), qn AS (SELECT query_id, sqrt(sum(wq * wq)) AS qnorm FROM qw GROUP BY 1),
+    sc AS (SELECT query_id, doc_id, sum(wq * w) AS dot FROM qw JOIN wt USING (term) GROUP BY 1, 2),
+    cs AS (SELECT query_id, doc_id, round(CASE WHEN model = 'tfidf' THEN dot ELSE dot / (norm * qnorm) END, 9) AS score, top_k FROM sc JOIN nm USING (doc_id) JOIN qn USING (query_id) JOIN rank_queries USING (query_id))
+    SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= top_k"""
+)
+def r_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "rank_queries")
+    weights = _weights(spark, d)
+    q = ranking.queries_of_table(asked, _RANK)
+    dot = ranking.score(q, weights).withColumnRenamed("score", "dot")
+    cosine = ranking.score(q, weights, ranking.doc_stats(records(spark, d), weights))
+    both = dot.join(cosine, ["query_id", "doc_id"]).join(F.broadcast(asked.select("query_id", "top_k", "model")), "query_id")
+    scored = both.withColumn("score", F.when(F.col("model") == "tfidf", F.col("dot")).otherwise(F.col("score"))).select("query_id", "doc_id", "score", "top_k")
+    rounded = scored.withColumn("score", F.round("score", 9))
+    ranked = rounded.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
+    return ranked.where("rank <= top_k").select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"WITH {_DOCS} SELECT count(*) AS n_docs FROM docs")
+def r_document_count(spark: SparkSession, d: str) -> DataFrame:
+    return records(spark, d).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# Key-value log (K) -----------------------------------------------------------------------------------------------------
+
+_LOG = "log AS (SELECT 'k' || user_id AS key, value, event_id AS seq, event_type = 'error' AS gone, day(ts) // 11 AS level FROM events UNION ALL SELECT event_type || ':' || user_id, value, event_id, event_type = 'error', day(ts) // 11 FROM events)"
+_LIVE = f"WITH {_LOG}, live AS (SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND NOT gone)"
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of keys 'k<user>' and '<type>:<user>', an error deleting its keys."""
+    e = table(spark, d, "events")
+    keys = F.array(F.concat(F.lit("k"), "user_id"), F.concat("event_type", F.lit(":"), "user_id"))
+    return e.select(F.explode(keys).alias("key"), "value", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "D").otherwise("U").alias("op"), F.floor(F.day("ts") / 11).alias("level"))
+
+
+@query(f"{_LIVE} SELECT key, value FROM live WHERE key = 'click:8'")
+def k_get(spark: SparkSession, d: str) -> DataFrame:
+    return kv.get(event_log(spark, d), "click:8")
+
+
+@query(f"{_LIVE} SELECT key, value FROM live WHERE key IN ('k1', 'k10', 'k100', 'click:7', 'missing')")
+def k_multiget(spark: SparkSession, d: str) -> DataFrame:
+    return kv.multi_get(event_log(spark, d), ["k1", "k10", "k100", "click:7", "missing"])
+
+
+@query(f"{_LIVE} SELECT key, value FROM live WHERE regexp_full_match(key, 'k[0-9]+') AND CAST(substr(key, 2) AS BIGINT) BETWEEN 9 AND 101")
+def k_range_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return kv.key_range(event_log(spark, d), "k9", "k101")
+
+
+@query(f"{_LIVE} SELECT key, value FROM live WHERE NOT regexp_full_match(key, 'k[0-9]+') AND key BETWEEN 'click:10' AND 'purchase:5'")
+def k_range_string(spark: SparkSession, d: str) -> DataFrame:
+    return kv.key_range(event_log(spark, d), "click:10", "purchase:5")
+
+
+@query(f"{_LIVE} SELECT key, value, seq FROM live")
+def k_latest(spark: SparkSession, d: str) -> DataFrame:
+    return kv.latest(event_log(spark, d))
+
+
+@query(f"{_LIVE} SELECT key, value FROM live")
+def k_scan(spark: SparkSession, d: str) -> DataFrame:
+    return kv.scan(event_log(spark, d))
+
+
+@query(f"WITH {_LOG} SELECT CAST(level AS BIGINT) AS level, count(*) AS n_entries, count(DISTINCT key) AS n_keys, count(*) FILTER (WHERE gone) AS n_deletes FROM log GROUP BY level")
+def k_stats(spark: SparkSession, d: str) -> DataFrame:
+    return kv.stats(event_log(spark, d))
+
+
+@query(f"{_LIVE} SELECT key, value, seq FROM live")
+def k_compact(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "compact")
+    kv.compact(event_log(spark, d).drop("level"), path)
+    return spark.read.parquet(path).select("key", "value", "seq")
+
+
+# Nearest points (N) ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: -CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 50 = 0),
+    r AS (SELECT query_id, vec_id AS point_id, list_distance(v, CAST(embedding AS DOUBLE[])) AS distance FROM q, embeddings)
+    SELECT query_id, point_id, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rn FROM r) WHERE rn = 1"""
+)
+def n_nn_batch(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = [(r["vec_id"], [-float(x) for x in r["embedding"]]) for r in e.where("vec_id % 50 = 0").select("vec_id", "embedding").toLocalIterator()]
+    points = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("coords"))
+    return spatial.nearest_batch(points, asked).select("query_id", "point_id", F.round("distance", 9).alias("distance"))
+
+
+@query(
+    """WITH q(query_id, x, y) AS (VALUES (0, 0.0, 0.0), (1, 5000.0, 700.0), (2, -999.0, 1400.0), (3, 2500.5, 10.0)),
+    r AS (SELECT query_id, c_custkey AS point_id, sqrt((x - c_acctbal) ** 2 + (y - c_custkey) ** 2) AS distance FROM q, customer)
+    SELECT CAST(query_id AS BIGINT) AS query_id, point_id, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) AS rn FROM r) WHERE rn = 1"""
+)
+def n_nn_2d(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.array("c_acctbal", F.col("c_custkey").cast("double")).alias("coords"))
+    found = spatial.nearest_batch(points, [(0, [0.0, 0.0]), (1, [5000.0, 700.0]), (2, [-999.0, 1400.0]), (3, [2500.5, 10.0])])
+    return found.select("query_id", "point_id", F.round("distance", 9).alias("distance"))
+
+
+# Substrings (S) --------------------------------------------------------------------------------------------------------
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
+
+
+def _places_sql(p: str) -> str:
+    n = len(p)
+    return f"SELECT doc_id AS text_id, CAST(unnest(list_filter(range(length(text) - {n} + 1), lambda i: substr(text, i + 1, {n}) = '{p}')) AS INTEGER) AS pos FROM documents WHERE contains(text, '{p}')"
+
+
+@query(_places_sql("ere"))
+def s_locate(spark: SparkSession, d: str) -> DataFrame:
+    return substring.locate(_texts(spark, d), "ere")
+
+
+@query(_places_sql("ана"))
+def s_locate_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    return substring.locate(_texts(spark, d), "ана")
+
+
+@query("SELECT doc_id AS text_id, CAST(len(list_filter(range(greatest(length(text) - 2, 0)), lambda i: substr(text, i + 1, 3) = 'ana')) AS INTEGER) AS cnt FROM documents WHERE text IS NOT NULL")
+def s_count(spark: SparkSession, d: str) -> DataFrame:
+    return substring.count(_texts(spark, d), "ana")
+
+
+@query("SELECT p_partkey AS text_id, CAST(unnest(range(length(p_name))) AS INTEGER) AS pos FROM part WHERE p_name <> ''")
+def s_empty_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return substring.locate(_names(spark, d), "")
+
+
+_SA = """WITH s AS (SELECT p_partkey AS text_id, p_name AS text, CAST(unnest(range(length(p_name) + 1)) AS INTEGER) AS pos FROM part WHERE p_name IS NOT NULL),
+    sa AS (SELECT text_id, CAST(row_number() OVER (PARTITION BY text_id ORDER BY substr(text, pos + 1)) - 1 AS INTEGER) AS rank, pos, CASE WHEN pos > 0 THEN substr(text, pos, 1) ELSE chr(0) END AS bwt FROM s)"""
+
+
+@query(f"{_SA} SELECT text_id, rank, pos FROM sa")
+def s_suffix_array(spark: SparkSession, d: str) -> DataFrame:
+    return substring.suffix_array(_names(spark, d)).select("text_id", "rank", "pos")
+
+
+@query(f"{_SA} SELECT text_id, rank, ascii(bwt) AS symbol FROM sa WHERE pos > 0 UNION ALL SELECT text_id, rank, 0 FROM sa WHERE pos = 0")
+def s_bwt(spark: SparkSession, d: str) -> DataFrame:
+    return substring.suffix_array(_names(spark, d)).select("text_id", "rank", F.ascii("bwt").alias("symbol"))
+
+
+_SYM = "x AS (SELECT text_id, CASE WHEN pos = 0 THEN 0 ELSE ascii(bwt) END AS symbol, rank FROM sa)"
+
+
+@query(f"{_SA}, {_SYM} SELECT text_id, symbol, CAST(coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT text_id, symbol, count(*) AS n FROM x GROUP BY 1, 2)")
+def s_c_array(spark: SparkSession, d: str) -> DataFrame:
+    return substring.c_array(substring.suffix_array(_names(spark, d))).select("text_id", F.ascii("symbol").alias("symbol"), "first")
+
+
+@query(f"{_SA}, {_SYM} SELECT text_id, rank, occ FROM (SELECT text_id, rank, CAST(sum(CASE WHEN symbol = ascii('e') THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY rank) AS BIGINT) AS occ FROM x) WHERE rank % 4 = 0")
+def s_occ(spark: SparkSession, d: str) -> DataFrame:
+    return substring.occurrences(substring.suffix_array(_names(spark, d)), "e", 4)
+
+
+# Persistence and streams (I) -------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT DISTINCT term, doc_id FROM ({_tokens_sql('documents', _pre('[A-Za-z0-9_-]+'))})")
+def i_stream_postings(spark: SparkSession, d: str) -> DataFrame:
+    folder = scratch(spark, "stream")
+    return ingest_postings(spark, f"{d}/documents.parquet*", "doc_id BIGINT, text STRING", _PLAIN, f"{folder}/rows", f"{folder}/state", "*.parquet")
+
+
+@query(f"WITH {_DOCS} SELECT term, doc_id, count(*) AS tf FROM ({_tokens_sql('docs', _NO_STOP)}) GROUP BY term, doc_id")
+def i_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "store")
+    save_table(ranking.term_counts(records(spark, d), _RANK), path, "postings")
+    return load_table(spark, path, "postings")
+
+
+@query(f"SELECT term, doc_id, positions FROM (WITH {_DOCS} SELECT term, doc_id, to_json(list(pos ORDER BY pos)) AS positions FROM ({_tokens_sql('docs', _RAW)}) GROUP BY term, doc_id)")
+def i_json_postings(spark: SparkSession, d: str) -> DataFrame:
+    return positional.positional_postings(_tokens(spark, d)).select("term", "doc_id", F.to_json("positions").alias("positions"))
