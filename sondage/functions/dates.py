@@ -26,6 +26,11 @@ def parse_day(value, name: str = "date") -> dt.date | None:
         raise ValueError(f"{name} is no ISO date: {value!r}") from e
 
 
+def day_literal(day: dt.date) -> Column:
+    """A DATE constant; by text, for the year 1 has no four-digit form in strftime."""
+    return F.lit(day.isoformat()).cast("date")
+
+
 def strict_date(text: Column) -> Column:
     """A DATE from text in the form YYYY-MM-DD with an optional time part; NULL for what isn't one."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(text, 1, 10).try_cast("date"))
@@ -36,14 +41,14 @@ def date_filter(start=None, end=None, mode: str = "valid", start_column: str = "
     if mode not in ("valid", "appeared"):
         raise ValueError(f"unknown date mode {mode!r}")
     lo, hi = parse_day(start, "start_date"), parse_day(end, "end_date")
-    begins, ends = F.col(start_column), F.coalesce(F.col(end_column), F.lit(dt.date.max)) if mode == "valid" else F.col(start_column)
-    conditions = [begins.isNotNull()] + ([begins <= F.lit(hi)] if hi else []) + ([ends >= F.lit(lo)] if lo else [])
+    begins, ends = F.col(start_column), F.coalesce(F.col(end_column), day_literal(dt.date.max)) if mode == "valid" else F.col(start_column)
+    conditions = [begins.isNotNull()] + ([begins <= day_literal(hi)] if hi else []) + ([ends >= day_literal(lo)] if lo else [])
     return reduce(lambda a, b: a & b, conditions)
 
 
 def ordinal(day: Column) -> Column:
     """Days since 0000-12-31; 9999-12-31 for NULL."""
-    return F.unix_date(F.coalesce(day, F.lit(dt.date.max))) + EPOCH_ORDINAL
+    return F.unix_date(F.coalesce(day, day_literal(dt.date.max))) + EPOCH_ORDINAL
 
 
 def bit_slices(day: Column) -> list[Column]:

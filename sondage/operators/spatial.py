@@ -69,6 +69,6 @@ def _nearest_block(rows: DataFrame, ids: np.ndarray, q: np.ndarray) -> DataFrame
                 better = (exact < best[r]) | ((exact == best[r]) & (k[c] < keys[r]))
                 best[r[better]], keys[r[better]], coords[r[better]] = exact[better], k[c[better]], x[c[better]]
         seen = np.isfinite(best)
-        yield pd.DataFrame({"query_id": ids[seen], "square": best[seen], "point_id": keys[seen], "coords": list(coords[seen])})
+        yield pd.DataFrame({"query_id": ids[seen], "square": best[seen], "point_id": keys[seen], "coords": pd.Series(list(coords[seen]), dtype=object)})
 
     return rows.mapInPandas(search, "query_id long, square double, point_id long, coords array<double>")

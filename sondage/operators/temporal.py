@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import bit_slices, date_filter, parse_day, sliced_between, sliced_less
+from ..functions.dates import bit_slices, date_filter, day_literal, parse_day, sliced_between, sliced_less
 
 
 def docs_by_date(docs: DataFrame, start=None, end=None, mode: str = "valid") -> DataFrame:
@@ -26,10 +26,10 @@ def window_overlaps(docs: DataFrame, windows: Sequence[tuple[int, object, object
     if mode not in ("valid", "appeared"):
         raise ValueError(f"unknown date mode {mode!r}")
     lo, hi = dt.date.min, dt.date.max
-    batch = [F.struct(F.lit(int(q)).alias("id"), F.lit(parse_day(s, "start") or lo).alias("lo"), F.lit(parse_day(e, "end") or hi).alias("hi")) for q, s, e in windows]
+    batch = [F.struct(F.lit(int(q)).alias("id"), day_literal(parse_day(s, "start") or lo).alias("lo"), day_literal(parse_day(e, "end") or hi).alias("hi")) for q, s, e in windows]
     if not batch:
         return docs.where("false").select(F.lit(0).cast("long").alias("query_id"), "doc_id")
-    ends = F.coalesce("end_date", F.lit(hi)) if mode == "valid" else F.col("start_date")
+    ends = F.coalesce("end_date", day_literal(hi)) if mode == "valid" else F.col("start_date")
     met = F.filter(F.array(*batch), lambda w: (F.col("start_date") <= w["hi"]) & (ends >= w["lo"]))
     return docs.select("doc_id", F.explode(met).alias("w")).select(F.col("w.id").cast("long").alias("query_id"), "doc_id")
 
