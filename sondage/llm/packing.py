@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The published token pattern, stop words kept (fixed value).
 TOKEN = "[0-9A-Za-zА-Яа-яЁё_-]+"
+#: Characters for each text of a shard's usual number at which a shard counts as full.
+SHARD_CHARACTERS = 5000
 
 
 class Bm25:
@@ -89,14 +91,16 @@ def pack_texts(texts: DataFrame, item: str, text: str = "text", capacity: int =
     """(container, item, piece, token_from, token_to): every text laid whole into a container of `capacity` tokens, token_to exclusive.
 
     Only a text of more tokens than the capacity is split, into full containers and a rest that is laid like a whole text.
-    Texts are hashed by `item` to shards of about `shard_texts`, however hot a source or group of copies is; tokens go
+    Texts are hashed by `item` to shards of about `shard_texts` (fewer if they are long), however hot a source or group of copies is; tokens go
     there as hashes. A shard has its own BM25 index, whose unused neighbours of a seed fill the seed's container. Texts without
     tokens (NULL, empty) take no space: they come out with token_from = token_to = 0 in a container of their shard.
     Rows equal in `item` are laid each; a NULL item is laid too. No rows in, no rows out.
     """
     if capacity < 1 or shard_texts < 1:
         raise ValueError("capacity and shard_texts must be at least 1")
-    shards = F.ceil(texts.agg(F.count(F.lit(1)).alias("n")).scalar() / F.lit(float(shard_texts)))
+    # by number, or by size where texts are long on average
+    share = F.count(F.lit(1)) / F.lit(float(shard_texts)) + F.coalesce(F.sum(F.length(text)), F.lit(0)) / F.lit(float(shard_texts * SHARD_CHARACTERS))
+    shards = F.ceil(texts.agg(share.alias("n")).scalar())
     rows = texts.select(F.col(item).cast("long").alias("item"), token_hashes(F.col(text)).alias("tokens"))
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("item"), F.greatest(shards, F.lit(1))).cast("long"))
 

@@ -19,15 +19,14 @@ def top_n_per_group(rows: DataFrame, group: str, score: Column, item: str, n: in
     n * subgroups of a group, are ranked by score and item. A group of a third of all rows is thus ranked in `subgroups` tasks.
     `salted` names a column that already has the subgroup of each row, if rows are partitioned by it. Rows with a NULL
     group are left out; NULL scores come last; rows equal in score and item in any order, all counting. Groups
-    smaller than n come out whole; n below 1 is an error.
+    smaller than n come out whole; n below 1 is an error. All columns of `rows` are kept, whatever their names, but for an older `rank`.
     """
     if n < 1:
         raise ValueError(f"n must be at least 1, not {n}")
-    salt = salted or "_subgroup"
-    scored = rows.where(F.col(group).isNotNull()).withColumn("_score", score)
-    if not salted:
-        scored = scored.withColumn(salt, subgroup(F.col(item), subgroups))
-    order = [F.col("_score").desc_nulls_last(), F.col(item).asc_nulls_last()]
-    survivors = scored.withColumn("_rank", F.row_number().over(W.partitionBy(group, salt).orderBy(*order))).where(F.col("_rank") <= n)
-    ranked = survivors.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
-    return ranked.drop("_score", "_rank", salt)
+    kept = F.struct(*[F.col(c) for c in rows.columns if c not in ("rank", salted)])
+    salt = F.col(salted) if salted else subgroup(F.col(item), subgroups)
+    scored = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), salt.alias("s"), score.alias("v"), F.col(item).alias("i"), kept.alias("r"))
+    order = [F.col("v").desc_nulls_last(), F.col("i").asc_nulls_last()]
+    survivors = scored.withColumn("k", F.row_number().over(W.partitionBy("g", "s").orderBy(*order))).where(F.col("k") <= n)
+    ranked = survivors.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy(*order))).where(F.col("k") <= n)
+    return ranked.select("r.*", F.col("k").alias("rank"))
