@@ -41,12 +41,17 @@ def heavy_keys(rows: DataFrame, key: str, share: float) -> DataFrame:
 def join_key_stats(rows: DataFrame, stats: DataFrame, key: str, n_rows: str, share: float = 0.001) -> DataFrame:
     """Inner join of rows with a table of one row for each key, of which column `n_rows` has the number of rows of the key.
 
-    Keys with at least `share` of all rows are joined by broadcast, at most 1/share of them (1,000 by default), the others
-    by a shuffle in which no key has more than that share. So no task gets a hot key, and nothing unbounded is broadcast.
+    Keys with at least `share` of all rows get their statistics by broadcast, at most 1/share of them (1,000 by default); the others by
+    a shuffle in which no key has more than that share, for rows of hot keys are spread over it by a salt that matches
+    nothing. So no task gets a hot key, nothing unbounded is broadcast, and `rows` is computed once. Columns of `rows` that
+    `stats` has too, other than the key, give way to those of `stats`. NULL keys find nothing.
     """
+    rows = rows.drop(*[c for c in stats.columns if c != key and c in rows.columns])
     cut = F.lit(share) * stats.agg(F.coalesce(F.sum(n_rows), F.lit(0)).alias("n")).scalar()
-    hot = stats.where(F.col(n_rows) >= cut)
-    cold = stats.where(F.col(n_rows) < cut)
-    of_hot = F.broadcast(hot)
-    few = F.broadcast(hot.select(key))
-    return rows.join(of_hot, key).unionByName(rows.join(few, key, "left_anti").join(cold, key))
+    carried = F.struct(*[F.col(c) for c in stats.columns if c != key])
+    hot = stats.where(F.col(n_rows) >= cut).select(key, carried.alias("_hot"))
+    cold = stats.where(F.col(n_rows) < cut).select(key, carried.alias("_cold"), F.lit(0).alias("_salt"))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1024)).cast("int") + 1
+    flagged = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0))
+    joined = flagged.join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold")).where(F.col("_found").isNotNull())
+    return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in stats.columns if c != key])
