@@ -7,8 +7,10 @@ import unicodedata
 
 import numpy as np
 
-#: Buckets of trigrams, bigrams and single characters: the whole model has this size whatever it is trained on.
-BUCKETS = (1 << 20, 1 << 18, 1 << 16)
+#: Buckets of trigrams and bigrams, each twice by different hashes, and of single characters: the whole model has this size
+#: whatever it is trained on. The lesser of two counts holds, so that one collision does no harm.
+BUCKETS = (1 << 20, 1 << 20, 1 << 18, 1 << 18, 1 << 16)
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _EDGE = "\x02\x02"
 _MARKUP = re.compile(r"<[^<>]*>|\[\d+\]|[*_#]")
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -27,17 +29,20 @@ def codes_of(words: list[str]) -> np.ndarray:
     return np.frombuffer((_EDGE + _EDGE.join(words) + _EDGE).translate(_DIGITS).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _hash(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+def _hash(key: np.ndarray, buckets: int, which: int) -> np.ndarray:
+    mixed = (key ^ key >> np.uint64(31)) * _FACTORS[which]
+    return (mixed >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
-def _pairs(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _hash(b.astype(np.uint64) << np.uint64(21) | c, BUCKETS[1])
+def _pairs(b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    key = b.astype(np.uint64) << np.uint64(21) | c.astype(np.uint64)
+    return [_hash(key, BUCKETS[2], w) for w in (0, 1)]
 
 
-def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b, c = codes[:-2].astype(np.uint64), codes[1:-1].astype(np.uint64), codes[2:].astype(np.uint64)
-    return _hash(a << np.uint64(42) | b << np.uint64(21) | c, BUCKETS[0]), _pairs(b, c), (c & np.uint64(BUCKETS[2] - 1)).astype(np.int64)
+def _buckets(codes: np.ndarray) -> list[np.ndarray]:
+    a, b, c = codes[:-2].astype(np.uint64), codes[1:-1], codes[2:]
+    key = a << np.uint64(42) | b.astype(np.uint64) << np.uint64(21) | c.astype(np.uint64)
+    return [_hash(key, BUCKETS[0], 0), _hash(key, BUCKETS[0], 1), *_pairs(b, c), (c & np.uint32(BUCKETS[4] - 1)).astype(np.int64)]
 
 
 def counts_of(words: list[str], into: list[np.ndarray]) -> None:
@@ -51,25 +56,30 @@ def empty_counts() -> list[np.ndarray]:
 
 
 class CharModel:
-    """log P of words, from the counts of three tables."""
+    """log P of words, from the counts: each order smoothed by the one below, and with a floor of a part of it."""
 
-    def __init__(self, counts: list[np.ndarray], strength: float = 2.0):
+    def __init__(self, counts: list[np.ndarray], strength: float = 2.0, floor: float = 0.01):
         self.tables = [c.astype(np.float32) for c in counts]
-        total, self.strength = float(counts[2].sum()), strength
+        total, self.strength, self.floor = float(counts[4].sum()), strength, floor
         # letters of the scripts at hand may be unseen, yet are likelier than unseen symbols
-        letters = np.array([c < 0x0530 and unicodedata.category(chr(c))[0] == "L" for c in range(BUCKETS[2])])
-        seen = counts[2] + np.where(letters, 1 + 2e-6 * total, 0.05)
+        letters = np.array([c < 0x0530 and unicodedata.category(chr(c))[0] == "L" for c in range(BUCKETS[4])])
+        seen = counts[4] + np.where(letters, 1 + 2e-6 * total, 0.05 + 1e-7 * total)
         self.p1 = (seen / seen.sum()).astype(np.float32)
 
+    def _least(self, first: int, at: list[np.ndarray]) -> np.ndarray:
+        return np.minimum(self.tables[first][at[0]], self.tables[first + 1][at[1]])
+
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """log P of each character from the third on, given the two before it."""
-        tri, bi, uni = _buckets(codes)
-        before = np.concatenate([(codes[1:2] & np.uint32(BUCKETS[2] - 1)).astype(np.int64), uni[:-1]])
-        pair_before = np.concatenate([_pairs(codes[:1], codes[1:2].astype(np.uint64)), bi[:-1]])
-        s = self.strength
+        *hashed, uni = _buckets(codes)
+        s, f = self.strength, self.floor
+        tri, bi = self._least(0, hashed[:2]), self._least(2, hashed[2:])
+        before = self.tables[4][np.concatenate([(codes[1:2] & np.uint32(BUCKETS[4] - 1)).astype(np.int64), uni[:-1]])]
+        pair_before = np.concatenate([self._least(2, _pairs(codes[:1], codes[1:2])), bi[:-1]])
         p1 = self.p1[uni]
-        p2 = (self.tables[1][bi] + s * p1) / (self.tables[2][before] + s)
-        return np.log((self.tables[0][tri] + s * p2) / (np.maximum(self.tables[1][pair_before], self.tables[0][tri]) + s))
+        p2 = (1 - f) * (bi + s * p1) / (np.maximum(before, bi) + s) + f * p1
+        p3 = (1 - f) * (tri + s * p2) / (np.maximum(pair_before, tri) + s) + f * p2
+        return np.log(p3)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """log P of each word with its ends."""

@@ -129,8 +129,8 @@ def nearest_vectors(
         apart[apart == 0] = np.nan  # no plane between equal centroids
         plane = np.nan_to_num((from_centre**2 - from_centre[:, own : own + 1] ** 2) / (2 * apart))
         least = np.maximum(plane, from_centre - reach)
-        least[:, own], least[:, reach < 0] = np.inf, np.inf
         near = least <= (radius + 1e-6)[:, None]
+        near[:, own], near[:, reach < 0] = False, False
         found = [np.nonzero(line)[0] for line in near]
         if max_probes is not None:
             found = [c if len(c) <= max_probes else c[np.argsort(from_centre[i][c], kind="stable")[:max_probes]] for i, c in enumerate(found)]

@@ -70,13 +70,13 @@ def nearest_in_cell(codes: Codes, x: np.ndarray, keys: np.ndarray, queries: np.n
         q, o, most = queries[at : at + block], own[at : at + block], limit[at : at + block].copy()
         guess, least = codes.estimate(q, epsilon)
         self_at = o[:, None] == keys
-        guess[self_at], least[self_at] = np.inf, np.inf
+        guess[self_at] = np.inf
         if len(x) > k:
             near = np.argpartition(guess, few - 1, axis=1)[:, :few]
             exact = ((x[near] - q[:, None, :]) ** 2).sum(axis=2)
             exact[np.take_along_axis(self_at, near, axis=1)] = np.inf
             most = np.minimum(most, np.partition(exact, k - 1, axis=1)[:, k - 1])
-        rows, cols = np.nonzero(least <= (most * (1 + 1e-9) + 1e-12)[:, None])
+        rows, cols = np.nonzero((least <= (most * (1 + 1e-9) + 1e-12)[:, None]) & ~self_at)
         exact = ((x[cols] - q[rows]) ** 2).sum(axis=1)
         kept = exact <= most[rows]
         rows, cols, exact = rows[kept], cols[kept], exact[kept]
