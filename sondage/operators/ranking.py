@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,21 @@ from ..functions.terms import smoothed_idf, term_weight
 from .hotkeys import join_key_stats
 
 
+@dataclass(frozen=True)
+class RankedIndex:
+    """The tables of a ranked index: lazy, or read back from where they were saved."""
+
+    stats: DataFrame
+    weights: DataFrame
+    norms: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame, analyzer: Analyzer) -> RankedIndex:
+        counts, n = term_counts(docs, analyzer), document_count(docs)
+        weights = term_weights(counts, n)
+        return cls(term_stats(counts, n), weights, doc_stats(docs, weights))
+
+
 def term_counts(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(term, doc_id, tf)."""
     return token_table(docs, analyzer).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
@@ -55,22 +71,24 @@ def queries_of_table(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.min("tp").alias("tp"), F.count(F.lit(1)).cast("int").alias("qtf"))
 
 
-def score(queries: DataFrame, weights: DataFrame, norms: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of the records with at least one known query term.
+def score(queries: DataFrame, weights: DataFrame, norms: DataFrame | None = None, stats: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, dot[, cosine]) of the records with at least one known query term.
 
-    Dot product of query and record weights; with `norms` (doc_id, norm) divided by both norms, records of norm 0 left out.
-    Unknown terms are dropped, from the query's norm too. `candidates` (query_id, doc_id) restricts the records.
+    dot is the product of query and record weights. With `norms` (doc_id, norm) and `stats` (term, idf) cosine is dot divided by
+    both norms, and records of norm 0 are left out. Unknown terms are dropped, from the query's norm too. `candidates`
+    (query_id, doc_id) restricts the records.
     """
-    hits = queries.join(weights, "term").withColumn("wq", term_weight(F.col("qtf")) * F.col("idf"))
+    asked = queries.select("query_id", "term", "qtf")
+    hits = asked.join(weights.select("term", "doc_id", "idf", "w"), "term").withColumn("wq", term_weight(F.col("qtf")) * F.col("idf"))
     if candidates is not None:
         hits = hits.join(candidates, ["query_id", "doc_id"], "left_semi")
-    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    dots = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"))
     if norms is None:
         return dots
-    idfs = weights.select("term", "idf").join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.first("idf").alias("idf"))
-    q = queries.join(idfs, "term").withColumn("wq", term_weight(F.col("qtf")) * F.col("idf")).groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
-    scored = dots.join(norms.select("doc_id", "norm").where("norm > 0"), "doc_id").join(q, "query_id")
-    return scored.select("query_id", "doc_id", (F.col("score") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    known = asked.join(stats.select("term", "idf"), "term").withColumn("wq", term_weight(F.col("qtf")) * F.col("idf"))
+    by_query = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
+    scored = dots.join(norms.select("doc_id", "norm").where("norm > 0"), "doc_id").join(by_query, "query_id")
+    return scored.select("query_id", "doc_id", "dot", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine"))
 
 
 def top_k(scored: DataFrame, k: int | Column, digits: int = 9) -> DataFrame:
@@ -120,7 +138,9 @@ def inexact_candidates(queries: DataFrame, weights: DataFrame, k: int, champions
     return counted.withColumn("_order", order).where(wanted).select("query_id", "doc_id")
 
 
-def search(queries: DataFrame, weights: DataFrame, norms: DataFrame, k: int, model: str = "vector", inexact: bool = False, champions: int = 8, tier: int = 8) -> DataFrame:
-    """Ranked search. model 'tfidf' scores by dot product, anything else by cosine; `inexact` scores only tiered candidates."""
-    chosen = inexact_candidates(queries, weights, k, champions, tier) if inexact else None
-    return top_k(score(queries, weights, None if model == "tfidf" else norms, chosen), k)
+def search(index: RankedIndex, queries: DataFrame, k: int, model: str | None = "vector", inexact: bool = False, champions: int = 8, tier: int = 8) -> DataFrame:
+    """Ranked search of a batch of queries. model 'tfidf' scores by dot product, anything else by cosine; `inexact` scores only tiered candidates."""
+    chosen = inexact_candidates(queries, index.weights, k, champions, tier) if inexact else None
+    if model == "tfidf":
+        return top_k(score(queries, index.weights, candidates=chosen).withColumnRenamed("dot", "score"), k)
+    return top_k(score(queries, index.weights, index.norms, index.stats, chosen).withColumnRenamed("cosine", "score"), k)

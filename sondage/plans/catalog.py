@@ -321,11 +321,14 @@ _QUERY = "index поиск query bloom index"
 _QW = "q(term, qtf) AS (VALUES ('index', 2), ('поиск', 1), ('query', 1), ('bloom', 1)), qw AS (SELECT q.term, (1 + ln(qtf)) * idf AS wq FROM q JOIN st USING (term)), sc AS (SELECT doc_id, sum(wq * w) AS score FROM qw JOIN wt USING (term) GROUP BY doc_id)"
 
 
+def _index(spark: SparkSession, d: str) -> ranking.RankedIndex:
+    return ranking.RankedIndex.build(records(spark, d), _RANK)
+
+
 def _ranked(spark: SparkSession, d: str, model: str, inexact: bool = False, k: int = 10) -> DataFrame:
-    weights = _weights(spark, d)
-    q = ranking.query_table(weights, [(0, _QUERY)], _RANK)
-    norms = ranking.doc_stats(records(spark, d), weights)
-    return ranking.search(q, weights, norms, k, model, inexact).select("doc_id", "score", "rank")
+    index = _index(spark, d)
+    q = ranking.query_table(index.weights, [(0, _QUERY)], _RANK)
+    return ranking.search(index, q, k, model, inexact).select("doc_id", "score", "rank")
 
 
 @query(f"{_STATS}, {_QW} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, round(score, 9) AS score FROM sc) ORDER BY score DESC, doc_id LIMIT 10")
@@ -382,14 +385,10 @@ def r_inexact_topk(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= top_k"""
 )
 def r_batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "rank_queries")
-    weights = _weights(spark, d)
-    q = ranking.queries_of_table(asked, _RANK)
-    dot = ranking.score(q, weights).withColumnRenamed("score", "dot")
-    cosine = ranking.score(q, weights, ranking.doc_stats(records(spark, d), weights))
-    both = dot.join(cosine, ["query_id", "doc_id"]).join(F.broadcast(asked.select("query_id", "top_k", "model")), "query_id")
-    scored = both.withColumn("score", F.when(F.col("model") == "tfidf", F.col("dot")).otherwise(F.col("score"))).select("query_id", "doc_id", "score", "top_k")
-    rounded = scored.withColumn("score", F.round("score", 9))
+    asked, index = table(spark, d, "rank_queries"), _index(spark, d)
+    scored = ranking.score(ranking.queries_of_table(asked, _RANK), index.weights, index.norms, index.stats)
+    scored = scored.join(asked.select("query_id", "top_k", "model"), "query_id")
+    rounded = scored.withColumn("score", F.round(F.when(F.col("model") == "tfidf", F.col("dot")).otherwise(F.col("cosine")), 9))
     ranked = rounded.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
     return ranked.where("rank <= top_k").select("query_id", "doc_id", "score", "rank")
 

@@ -16,3 +16,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sondage-checkpoints")
     return context.getCheckpointDir()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that is heavy for its input's size.
+
+    Only an input of fewer splits, which is small, is shuffled; a large one stays as it is read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -11,12 +11,13 @@ from sondage.operators import ranking
 class Index:
     def __init__(self, spark, texts):
         self.docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        self.weights = ranking.term_weights(ranking.term_counts(self.docs, RANKED), ranking.document_count(self.docs))
-        self.norms = ranking.doc_stats(self.docs, self.weights)
+        self.index = ranking.RankedIndex.build(self.docs, RANKED)
+        self.index = ranking.RankedIndex(self.index.stats.cache(), self.index.weights.cache(), self.index.norms.cache())
+        self.weights = self.index.weights
 
     def search(self, text, k=10, model="vector", **more):
         q = ranking.query_table(self.weights, [(0, text)], RANKED)
-        return [(r["doc_id"], r["score"]) for r in ranking.search(q, self.weights, self.norms, k, model, **more).orderBy("rank").collect()]
+        return [(r["doc_id"], r["score"]) for r in ranking.search(self.index, q, k, model, **more).orderBy("rank").collect()]
 
 
 def by_hand(texts, query, model):
