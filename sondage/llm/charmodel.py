@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping
 
 import numpy as np
 
@@ -45,10 +46,15 @@ def _buckets(codes: np.ndarray) -> list[np.ndarray]:
     return [_hash(key, BUCKETS[0], 0), _hash(key, BUCKETS[0], 1), *_pairs(b, c), (c & np.uint32(BUCKETS[4] - 1)).astype(np.int64)]
 
 
-def counts_of(words: list[str], into: list[np.ndarray]) -> None:
-    """Adds the words' counts to the tables for trigrams, bigrams and characters."""
-    for table, at in zip(into, _buckets(codes_of([plain(w) for w in words])), strict=True):
-        table += np.bincount(at, minlength=len(table)).astype(table.dtype)
+def counts_of(words: Mapping[str, int], into: list[np.ndarray]) -> None:
+    """Adds the counts of words, each with its number of uses, to the tables for trigrams, bigrams and characters."""
+    if not words:
+        return
+    forms = [plain(w) for w in words]
+    # after its two edge marks a word's characters, its end and the next mark are its own
+    uses = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(w) + 2 for w in forms])
+    for table, at in zip(into, _buckets(codes_of(forms)), strict=True):
+        table += np.bincount(at, uses, len(table)).astype(table.dtype)
 
 
 def empty_counts() -> list[np.ndarray]:
