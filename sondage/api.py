@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import BOOLEAN, DATED, POSITIONAL, RANKED, Analyzer, token_table
+from .functions.dates import dated_records
 from .operators import boolean, positional, ranking, spatial, substring, temporal
 from .sources.store import load_table, save_table
 
 
-class BooleanIndex:
+class _Documents:
+    """What all indexes of texts have."""
+
+    docs: DataFrame
+
+    def get_document(self, doc_id: int) -> DataFrame:
+        return self.docs.where(F.col("doc_id") == doc_id).select("doc_id", "text")
+
+    def get_document_count(self) -> DataFrame:
+        return self.docs.agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+class BooleanIndex(_Documents):
     """Boolean search over docs (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, analyzer: Analyzer = BOOLEAN, postings: DataFrame | None = None):
@@ -39,19 +52,13 @@ class BooleanIndex:
     def query_and_not(self, term: str, other: str) -> DataFrame:
         return boolean.query_and_not(self.postings, *self._terms([term, other]))
 
-    def get_document(self, doc_id: int) -> DataFrame:
-        return self.docs.where(F.col("doc_id") == doc_id).select("doc_id", "text")
-
-    def get_document_count(self) -> DataFrame:
-        return self.docs.agg(F.count_distinct("doc_id").alias("n_docs"))
-
     def get_term_frequency(self, term: str) -> DataFrame:
         """(df): records that have the term."""
         return self.query_term(term).agg(F.count(F.lit(1)).alias("df"))
 
     def save(self, path: str) -> None:
-        save_table(self.docs if "start_date" in self.docs.columns else self.docs.selectExpr("*", "CAST(NULL AS DATE) start_date", "CAST(NULL AS DATE) end_date"), path, "docs")
-        save_table(self.postings.withColumn("tf", F.lit(None)), path, "postings")
+        save_table(self.docs, path, "docs")
+        save_table(self.postings, path, "postings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: Analyzer = BOOLEAN):
@@ -59,10 +66,16 @@ class BooleanIndex:
 
 
 class DatedIndex(BooleanIndex):
-    """Boolean search over docs (doc_id, text, start_date, end_date) with validity dates."""
+    """Boolean search over docs (doc_id, text, start_date, end_date) with validity dates.
+
+    Dates given as texts are read strictly: a record with a missing or malformed start, or a malformed end, fails the job that reads it.
+    """
 
     def __init__(self, docs: DataFrame, analyzer: Analyzer = DATED, postings: DataFrame | None = None):
-        super().__init__(docs, analyzer, postings)
+        super().__init__(dated_records(docs), analyzer, postings)
+
+    def add_documents(self, docs: DataFrame):
+        return super().add_documents(dated_records(docs))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: Analyzer = DATED):
@@ -79,11 +92,31 @@ class DatedIndex(BooleanIndex):
     query_boolean = query_complex
 
 
-class PositionalIndex:
-    """Exact phrases over docs (doc_id, text)."""
+class PositionalIndex(_Documents):
+    """Exact phrases over docs (doc_id, text), or over saved tables."""
+
+    def __init__(self, docs: DataFrame, analyzer: Analyzer = POSITIONAL, postings: DataFrame | None = None):
+        self.docs, self.analyzer, self._postings = docs, analyzer, postings
+        self.tokens = token_table(docs, analyzer) if postings is None else positional.tokens_of(postings)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, positions, tf)."""
+        return positional.positional_postings(self.tokens) if self._postings is None else self._postings
+
+    def add_documents(self, docs: DataFrame) -> PositionalIndex:
+        """An index that has these documents too, of new ids: their postings stand beside those at hand, which aren't computed anew."""
+        new = positional.positional_postings(token_table(docs, self.analyzer))
+        return PositionalIndex(self.docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text")), self.analyzer, self.postings.unionByName(new))
+
+    def save(self, path: str) -> None:
+        """Writes docs and postings; the latter in ranges of (term, doc_id), so that a term's look-up reads few row groups."""
+        save_table(self.docs, path, "docs")
+        save_table(self.postings, path, "positions")
 
-    def __init__(self, docs: DataFrame, analyzer: Analyzer = POSITIONAL):
-        self.docs, self.analyzer, self.tokens = docs, analyzer, token_table(docs, analyzer)
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, analyzer: Analyzer = POSITIONAL) -> PositionalIndex:
+        return cls(load_table(spark, path, "docs"), analyzer, load_table(spark, path, "positions"))
 
     def _phrase(self, phrase: str | Sequence[str]) -> list[str]:
         """A str is analysed; of a list each truthy item is normalised, not split."""
@@ -108,16 +141,31 @@ class PositionalIndex:
         return positional.count_phrase(self.tokens, self._phrase(phrase))
 
 
-class RankedSearch:
+class RankedSearch(_Documents):
     """TF-IDF and cosine ranking over docs (doc_id, text), or over saved tables."""
 
-    def __init__(self, docs: DataFrame, analyzer: Analyzer = RANKED, champion_size: int = 8, tier_size: int = 8):
-        self.analyzer, self.champion_size, self.tier_size = analyzer, champion_size, tier_size
-        self.index = ranking.RankedIndex.build(docs, analyzer)
+    def __init__(self, docs: DataFrame, analyzer: Analyzer = RANKED, champion_size: int = 8, tier_size: int = 8, index: ranking.RankedIndex | None = None):
+        self.docs, self.analyzer, self.champion_size, self.tier_size = docs, analyzer, champion_size, tier_size
+        self.index = ranking.RankedIndex.build(docs, analyzer) if index is None else index
+
+    def add_documents(self, docs: DataFrame) -> RankedSearch:
+        """An index that has these documents too, of new ids. Only they are analysed; statistics and weights, which depend on all records, follow from the counts."""
+        every = self.docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+        counts = self.index.weights.select("term", "doc_id", "tf").unionByName(ranking.term_counts(docs, self.analyzer))
+        return RankedSearch(every, self.analyzer, self.champion_size, self.tier_size, ranking.RankedIndex.of_counts(every, counts))
+
+    def save(self, path: str) -> None:
+        save_table(self.docs, path, "docs")
+        self.index.save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, analyzer: Analyzer = RANKED, champion_size: int = 8, tier_size: int = 8) -> RankedSearch:
+        return cls(load_table(spark, path, "docs"), analyzer, champion_size, tier_size, ranking.RankedIndex.load(spark, path))
 
     def _search(self, query: str, top_k: int, model: str | None, inexact: bool) -> DataFrame:
         asked = ranking.query_table(self.index.weights, [(0, query)], self.analyzer)
-        return ranking.search(self.index, asked, top_k, model, inexact, self.champion_size, self.tier_size).drop("query_id").orderBy("rank")
+        index = self.index.of_terms(sorted(set(self.analyzer.of_query(query))))
+        return ranking.search(index, asked, top_k, model, inexact, self.champion_size, self.tier_size).drop("query_id").orderBy("rank")
 
     def search_tfidf(self, query: str, top_k: int = 10) -> DataFrame:
         return self._search(query, top_k, "tfidf", False)

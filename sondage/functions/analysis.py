@@ -24,6 +24,8 @@ class Analyzer:
     stop_words: tuple[str, ...] = ()
     stop_stage: str = "none"
     stem: bool = True
+    #: Whether single query terms are stemmed as indexed tokens are, those outside ASCII only lower-cased, or all in the same way.
+    stem_all: bool = False
 
     def without_stems(self) -> Analyzer:
         return replace(self, stem=False)
@@ -59,12 +61,14 @@ class Analyzer:
 
     def term_of_query(self, term: str) -> str:
         """A single query term: stemmed only, neither split nor dropped."""
-        return stem(term) if self.stem else term.lower()
+        if not self.stem:
+            return term.lower()
+        return stem(term) if self.stem_all else stem_ascii(term)
 
 
-#: The four analysers in use: Boolean, Boolean with dates, positional, ranked.
-BOOLEAN = Analyzer("[A-Za-z0-9_]+", True, ENGLISH_STOP_WORDS, "pre")
-DATED = Analyzer("[A-Za-z0-9_-]+", True, ENGLISH_STOP_WORDS, "pre")
+#: The four analysers in use: Boolean, Boolean with dates, positional, ranked. Their patterns are fixed values.
+BOOLEAN = Analyzer("[A-Za-z0-9_]+", True, ENGLISH_STOP_WORDS, "pre", stem_all=True)
+DATED = Analyzer("[A-Za-z0-9_-]+", True, ENGLISH_STOP_WORDS, "pre", stem_all=True)
 POSITIONAL = Analyzer("[0-9A-Za-zА-Яа-яЁё_-]+", False, ENGLISH_STOP_WORDS + RUSSIAN_STOP_WORDS, "none")
 RANKED = replace(POSITIONAL, stop_stage="post")
 

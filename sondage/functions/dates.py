@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of the ordinal of 9999-12-31, and days from 0001-01-01 to 1970-01-01 (fixed values).
@@ -36,6 +36,17 @@ def strict_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(text, 1, 10).try_cast("date"))
 
 
+def dated_records(docs: DataFrame) -> DataFrame:
+    """Records with start_date and end_date as DATE. Date columns stay as they are; texts must be ISO dates, the end's may be NULL, and anything else fails the job with the value in its message."""
+    kinds = dict(docs.dtypes)
+    for name in ("start_date", "end_date"):
+        if kinds.get(name) == "string":
+            missing = F.col(name).isNull() if name == "end_date" else F.lit(False)
+            wrong = F.raise_error(F.concat(F.lit(f"{name} is no ISO date: "), F.coalesce(F.col(name), F.lit("NULL")))).cast("date")
+            docs = docs.withColumn(name, F.when(missing, F.lit(None).cast("date")).otherwise(F.coalesce(strict_date(F.col(name)), wrong)))
+    return docs
+
+
 def date_filter(start=None, end=None, mode: str = "valid", start_column: str = "start_date", end_column: str = "end_date") -> Column:
     """'valid': the record's closed interval, open-ended for a NULL end, meets [start, end]; 'appeared': it begins within. A missing bound is no bound; an unknown mode is a ValueError. A NULL start date never matches."""
     if mode not in ("valid", "appeared"):

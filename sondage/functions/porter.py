@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,17 +111,25 @@ def stem(word: str) -> str:
     return _final(_ending(_derived(w)))
 
 
+_STEMMED = re.compile(r"[\x00-\x7f]*[a-z][\x00-\x7f]*")
+
+
 def stem_ascii(token: str) -> str:
-    """ASCII tokens with a letter are stemmed, others only lower-cased."""
-    lowered = token.lower()
-    return stem(lowered) if lowered.isascii() and any("a" <= c <= "z" for c in lowered) else lowered
+    """Tokens in ASCII with a letter are stemmed, others only lower-cased."""
+    small = token.lower()
+    return stem(small) if _STEMMED.fullmatch(small) else small
 
 
 def stems(tokens: Column) -> Column:
-    """Stems of an array of tokens, in Arrow batches; each Python worker keeps the vocabulary it has seen."""
-
-    @F.pandas_udf("array<string>")
-    def of(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else [None if t is None else stem_ascii(t) for t in x])
+    """Stems of an array of tokens. Of each Arrow batch only the distinct tokens are stemmed; the rest is a look-up in Arrow."""
+
+    @F.arrow_udf("array<string>")
+    def of(batch: pa.Array) -> pa.Array:
+        if pa.types.is_large_list(batch.type):
+            batch = batch.cast(pa.list_(pa.string()))
+        starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])
+        coded = batch.flatten().dictionary_encode()  # without what lies behind NULL lists
+        known = pa.array([None if t is None else stem_ascii(t) for t in coded.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), known.take(coded.indices), mask=pc.is_null(batch))
 
     return of(tokens)

@@ -13,6 +13,11 @@ def positional_postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+def tokens_of(postings: DataFrame) -> DataFrame:
+    """(doc_id, pos, term) from (term, doc_id, positions): a comparison of terms still reaches the scan. Repeated positions count once."""
+    return postings.select("doc_id", "term", F.explode(F.array_distinct("positions")).alias("pos")).select("doc_id", "pos", "term")
+
+
 def get_positions(tokens: DataFrame, term: str, doc_id: int | None = None) -> DataFrame:
     """(doc_id, pos) of a term, of one record or of all."""
     hits = tokens.where(F.col("term") == term)

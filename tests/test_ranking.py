@@ -12,7 +12,7 @@ class Index:
     def __init__(self, spark, texts):
         self.docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         self.index = ranking.RankedIndex.build(self.docs, RANKED)
-        self.index = ranking.RankedIndex(self.index.stats.cache(), self.index.weights.cache(), self.index.norms.cache())
+        self.index = ranking.RankedIndex(self.index.stats.cache(), self.index.weights.cache(), self.index.norms.cache(), self.index.ids)
         self.weights = self.index.weights
 
     def search(self, text, k=10, model="vector", **more):
