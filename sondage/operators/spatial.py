@@ -9,13 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Query points compared with the table in one pass.
-QUERY_BLOCK = 4096
-
+from .kdtree import nearest_table, usable
 
-def square_distance(a, b):
-    """Sum of squared differences of two array columns, in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+#: Query points that are compared with the points in one pass; larger batches become a table.
+QUERY_BLOCK = 4096
 
 
 def nearest_neighbor(points: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -28,22 +25,21 @@ def nearest_neighbor(points: DataFrame, query: Sequence[float]) -> DataFrame:
 
 
 def nearest_batch(points: DataFrame, queries: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
-    """(query_id, point_id, coords, distance) for a batch of query points given on the driver, in blocks of QUERY_BLOCK.
+    """(query_id, point_id, coords, distance) for a batch of query points given on the driver.
 
-    Each task compares its points with a block as matrices and gives one row for each query, the best by distance and id;
-    the best of these is taken by a small aggregate. No cross join. Rows of another dimension than the queries fail.
+    A small batch is compared with the points where they lie: each task gives one row for each query, the best by distance and
+    id, and the best of these is taken by a small aggregate. More than QUERY_BLOCK queries become a table, for
+    `kdtree.nearest_table`. Rows of another dimension than the queries fail.
     """
     dims = {len(q) for _, q in queries}
     if len(dims) > 1:
         raise ValueError(f"queries of different dimensions: {sorted(dims)}")
-    rows = points.where(F.col("coords").isNotNull()).select("point_id", F.transform("coords", lambda x: x.cast("double")).alias("coords")).where(F.forall("coords", lambda x: x.isNotNull()))
     size = dims.pop() if dims else 0
-    rows = rows.withColumn("coords", F.when(F.size("coords") == size, F.col("coords")).otherwise(F.raise_error(F.lit(f"a point has another dimension than {size}")).cast("array<double>")))
-    out = None
-    for at in range(0, max(len(queries), 1), QUERY_BLOCK):
-        block = queries[at : at + QUERY_BLOCK]
-        part = _nearest_block(rows, np.array([q for q, _ in block], np.int64), np.array([p for _, p in block], np.float64).reshape(len(block), size))
-        out = part if out is None else out.unionByName(part)
+    if len(queries) > QUERY_BLOCK:
+        asked = points.sparkSession.createDataFrame([(int(q), [float(x) for x in p]) for q, p in queries], "query_id long, coords array<double>")
+        return nearest_table(points, asked, size)
+    rows = usable(points, "point_id", size)
+    out = _nearest_block(rows, np.array([q for q, _ in queries], np.int64), np.array([p for _, p in queries], np.float64).reshape(len(queries), size))
     best = out.groupBy("query_id").agg(F.min(F.struct("square", "point_id", "coords")).alias("b"))
     return best.select("query_id", "b.point_id", "b.coords", F.sqrt("b.square").alias("distance"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +50,8 @@ def suffix_array(texts: DataFrame, long_text: int = 2000) -> DataFrame:
     """(text_id, rank, pos, bwt): suffixes of text + NUL in order, with the character before each (NUL for the first).
 
     Short texts are ranked by the suffix itself; longer ones by prefix doubling over (text_id, pos), which needs
-    log2(length) rounds, each one shuffle, and no suffix as a value. A text with a NUL is an error.
+    log2(length) rounds and no suffix as a value; in each, a long text is ranked in ranges over all tasks. Both give the
+    same ranks, so `long_text` sets cost alone. A text with a NUL is an error. A job for the longest text runs first.
     """
     clean = texts.where(F.col("text").isNotNull()).select("text_id", F.when(~F.contains(F.col("text"), F.lit("\0")), F.col("text")).otherwise(F.raise_error(F.lit("a text has a NUL"))).alias("text"))
     short = clean.where(F.length("text") <= long_text)
@@ -64,22 +67,40 @@ def _before(text: Column, pos: Column) -> Column:
     return F.when(pos > 0, F.substring(text, pos, F.lit(1))).otherwise(F.lit("\0"))
 
 
+#: Characters by which suffixes are told apart before the first doubling: 3 code points of 21 bits.
+_FIRST = 3
+
+
 def _doubled(texts: DataFrame, longest: int) -> DataFrame:
     checkpoint_dir(texts.sparkSession)
-    first = F.when(F.col("pos") < F.length("text"), F.ascii(F.substring("text", F.col("pos") + 1, F.lit(1)))).otherwise(F.lit(0))
     rows = texts.select("text_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("pos"))
-    bwt = _before(F.col("text"), F.col("pos"))
-    rows = rows.select("text_id", "pos", bwt.alias("bwt"), first.cast("long").alias("k")).checkpoint()
-    width = 1
+    code = lambda i: F.when(F.col("pos") + i < F.length("text"), F.ascii(F.substring("text", F.col("pos") + i + 1, F.lit(1)))).otherwise(F.lit(0)).cast("long")
+    key = code(0) * (1 << 42) + code(1) * (1 << 21) + code(2)
+    rows = rows.select("text_id", "pos", _before(F.col("text"), F.col("pos")).alias("bwt"), key.alias("k")).checkpoint()
+    width = _FIRST
     while True:
         ahead = rows.select("text_id", (F.col("pos") - width).alias("pos"), F.col("k").alias("k2"))
         pairs = rows.join(ahead, ["text_id", "pos"], "left").fillna(-1, ["k2"])
-        rows = pairs.select("text_id", "pos", "bwt", F.dense_rank().over(W.partitionBy("text_id").orderBy("k", "k2")).cast("long").alias("k")).checkpoint()
+        rows = _dense_ranks(pairs).checkpoint()
         width *= 2
-        if width > longest:
+        tied = rows.groupBy("text_id").agg((F.max("k") < F.count(F.lit(1))).alias("tied")).where("tied")
+        if width > longest or tied.isEmpty():  # distinct ranks are final
             return rows.select("text_id", (F.col("k") - 1).cast("int").alias("rank"), "pos", "bwt")
 
 
+def _dense_ranks(pairs: DataFrame) -> DataFrame:
+    """(text_id, pos, bwt, k) with the dense rank of (k, k2) within each text as new k, a long text being spread over all tasks.
+
+    Ranges of (text_id, k, k2) hold equal keys together; each range ranks its own, and begins after what the text's earlier
+    ranges have counted: a sum over a row for each range and text.
+    """
+    ranged = pairs.repartitionByRange("text_id", "k", "k2").withColumn("part", F.spark_partition_id()).checkpoint()
+    own = ranged.withColumn("own", F.dense_rank().over(W.partitionBy("text_id", "part").orderBy("k", "k2")).cast("long"))
+    sizes = own.groupBy("text_id", "part").agg(F.max("own").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("text_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sizes.select("text_id", "part", before.alias("before")), ["text_id", "part"]).select("text_id", "pos", "bwt", (F.col("own") + F.col("before")).alias("k"))
+
+
 def c_array(suffixes: DataFrame) -> DataFrame:
     """(text_id, symbol, first): of each symbol the number of smaller ones."""
     counts = suffixes.groupBy("text_id", F.col("bwt").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
@@ -89,6 +110,25 @@ def c_array(suffixes: DataFrame) -> DataFrame:
 
 def occurrences(suffixes: DataFrame, symbol: str, step: int = 1) -> DataFrame:
     """(text_id, rank, occ): how often the symbol occurs in the transform up to and including each rank that is a multiple of step (at least 1)."""
-    upto = W.partitionBy("text_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    rows = suffixes.select("text_id", "rank", F.sum((F.col("bwt") == symbol).cast("long")).over(upto).alias("occ"))
-    return rows.where(F.col("rank") % max(1, step) == 0)
+    step = max(1, step)
+    before = occ_checkpoints(suffixes.withColumn("bwt", F.when(F.col("bwt") == symbol, F.col("bwt"))), step, symbols=[symbol]).select("text_id", "rank", "occ")
+    at = suffixes.where(F.col("rank") % step == 0).select("text_id", "rank", (F.col("bwt") == symbol).cast("long").alias("here"))
+    return at.join(before, ["text_id", "rank"], "left").select("text_id", "rank", (F.coalesce("occ", F.lit(0)) + F.col("here")).alias("occ"))
+
+
+def occ_checkpoints(suffixes: DataFrame, step: int = 32, symbols: Sequence[str] | None = None) -> DataFrame:
+    """(text_id, rank, symbol, occ): for each block of `step` ranks how often each symbol of the text occurs before it; all symbols of the text, or those given.
+
+    Ranks count from 0 and the block's first one names it. Blocks are counted first, so that only their counts are summed up in order.
+    """
+    step = max(1, step)
+    start = (F.floor(F.col("rank") / step) * step).cast("int")
+    counts = suffixes.groupBy("text_id", start.alias("rank"), F.col("bwt").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = suffixes.where(F.col("rank") % step == 0).select("text_id", "rank")
+    if symbols is None:
+        known = counts.select("text_id", "symbol").distinct()
+    else:
+        known = suffixes.select("text_id").distinct().select("text_id", F.explode(F.array(*[F.lit(x) for x in symbols])).alias("symbol"))
+    grid = blocks.join(known, "text_id").join(counts, ["text_id", "rank", "symbol"], "left")
+    before = W.partitionBy("text_id", "symbol").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    return grid.select("text_id", "rank", "symbol", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("occ"))

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..api import PositionalIndex, RankedSearch
 from ..functions.analysis import BOOLEAN, DATED, ENGLISH_STOP_WORDS, POSITIONAL, RANKED, RUSSIAN_STOP_WORDS, token_table
 from ..functions.porter import stems
 from ..functions.terms import normal_term
-from ..operators import boolean, kv, positional, ranking, spatial, substring, temporal
+from ..operators import boolean, kdtree, kv, positional, ranking, spatial, substring, temporal
 from ..operators.hotkeys import distinct_per_key, heavy_keys, keyed_aggregate
-from ..sources.store import load_table, save_table
+from ..sources.kvstore import KeyValueStore
+from ..sources.store import decoded_postings, load_table, save_table
 from ..sources.tables import checkpoint_dir, table
 from ..streaming.ingest import ingest_postings
+from .stem_sql import stem_tables
 
 QUERIES = {}
 ORACLES = {}
@@ -102,13 +105,19 @@ def t_tokens_ranked(spark: SparkSession, d: str) -> DataFrame:
     return token_table(table(spark, d, "documents"), RANKED.without_stems())
 
 
-@query()
+_STEM_DOCS = f"raw AS ({_tokens_sql('documents', _RAW)}), {stem_tables('raw')}"
+
+
+@query(f"WITH {_STEM_DOCS} SELECT term, stem FROM stemmed")
 def t_stem_vocab(spark: SparkSession, d: str) -> DataFrame:
     words = token_table(table(spark, d, "documents"), POSITIONAL.without_stems()).select("term").distinct()
     return words.select("term", F.get(stems(F.array("term")), F.lit(0)).alias("stem"))
 
 
-@query()
+@query(
+    f"""WITH {_STEM_DOCS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, stem AS term
+    FROM raw JOIN stemmed USING (term) WHERE stem NOT IN ({_ALL_STOP})"""
+)
 def t_tokens_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return token_table(table(spark, d, "documents"), RANKED)
 
@@ -116,7 +125,7 @@ def t_tokens_stemmed(spark: SparkSession, d: str) -> DataFrame:
 # Records of the index domain -------------------------------------------------------------------------------------------
 
 _DOCS = """docs AS (SELECT doc_id, text, start_date, end_date FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
-    loaded_at DESC NULLS LAST, text DESC NULLS LAST, start_date DESC NULLS LAST, end_date DESC NULLS LAST) AS rn FROM dated_docs) WHERE rn = 1)"""
+    loaded_at DESC NULLS LAST, start_date DESC NULLS LAST, end_date DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM dated_docs) WHERE rn = 1)"""
 _PLAIN = DATED.without_stems()
 _WORDS = POSITIONAL.without_stems()
 _RANK = RANKED.without_stems()
@@ -124,16 +133,34 @@ _BOOL = f"WITH {_DOCS}, post AS (SELECT DISTINCT term, doc_id FROM ({_tokens_sql
 _POS = f"WITH {_DOCS}, tok AS ({_tokens_sql('docs', _RAW)})"
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """Records as last delivered: (doc_id, text, start_date, end_date)."""
-    last = table(spark, d, "dated_docs").groupBy("doc_id").agg(F.max(F.struct("loaded_at", "text", "start_date", "end_date")).alias("r"))
-    return last.select("doc_id", "r.text", "r.start_date", "r.end_date")
+def records(spark: SparkSession, d: str, text: bool = True) -> DataFrame:
+    """Records as last delivered: (doc_id[, text], start_date, end_date). Without `text` the texts are neither read nor moved."""
+    wanted = ["start_date", "end_date", *(["text"] if text else [])]
+    last = table(spark, d, "dated_docs").groupBy("doc_id").agg(F.max(F.struct("loaded_at", *wanted)).alias("r"))
+    return last.select("doc_id", *[f"r.{c}" for c in wanted])
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a table or index that is written once in a session for each folder of tables, in the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
     return boolean.boolean_postings(records(spark, d), _PLAIN)
 
 
+_STEM_BOOL = f"WITH {_DOCS}, raw AS ({_tokens_sql('docs', _pre('[A-Za-z0-9_-]+'))}), {stem_tables('raw')}, post AS (SELECT DISTINCT stem AS term, doc_id FROM raw JOIN stemmed USING (term))"
+_STEM_POS = f"WITH {_DOCS}, raw AS ({_tokens_sql('docs', _RAW)}), {stem_tables('raw')}, tok AS (SELECT doc_id, pos, stem AS term FROM raw JOIN stemmed USING (term))"
+
+
 # Boolean retrieval (B) -------------------------------------------------------------------------------------------------
 
 
@@ -196,27 +223,38 @@ def b_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+@query(f"{_STEM_BOOL} SELECT doc_id FROM post WHERE term = 'queri' INTERSECT SELECT doc_id FROM post WHERE term = 'index' EXCEPT SELECT doc_id FROM post WHERE term = 'bloom'")
+def b_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    tree = ("AND_NOT", ("AND", "Queries", ("TERM", "indexing")), "bloom")
+    return boolean.query_tree(records(spark, d), boolean.boolean_postings(records(spark, d), DATED), tree, DATED)
+
+
+@query(f"{_STEM_BOOL} SELECT term, doc_id FROM post")
+def b_stemmed_postings(spark: SparkSession, d: str) -> DataFrame:
+    return boolean.boolean_postings(records(spark, d), DATED)
+
+
 # Dates (D) -------------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date <= DATE '2023-12-31' AND coalesce(end_date, DATE '9999-12-31') >= DATE '2023-12-01'")
 def d_valid(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.docs_by_date(records(spark, d), "2023-12-01", "2023-12-31")
+    return temporal.docs_by_date(records(spark, d, text=False), "2023-12-01", "2023-12-31")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date BETWEEN DATE '2023-12-01' AND DATE '2023-12-31'")
 def d_appeared(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.docs_by_date(records(spark, d), "2023-12-01", "2023-12-31", "appeared")
+    return temporal.docs_by_date(records(spark, d, text=False), "2023-12-01", "2023-12-31", "appeared")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date <= DATE '2022-06-30'")
 def d_open_start(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.docs_by_date(records(spark, d), None, "2022-06-30")
+    return temporal.docs_by_date(records(spark, d, text=False), None, "2022-06-30")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date IS NOT NULL AND coalesce(end_date, DATE '9999-12-31') >= DATE '2025-01-01'")
 def d_open_end(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.docs_by_date(records(spark, d), "2025-01-01")
+    return temporal.docs_by_date(records(spark, d, text=False), "2025-01-01")
 
 
 _MONTHS = [(12 * (y - 2022) + m, f"{y}-{m:02d}-01", f"{y}-{m:02d}-28") for y in (2022, 2023, 2024) for m in range(1, 13)]
@@ -227,17 +265,29 @@ _MONTHS = [(12 * (y - 2022) + m, f"{y}-{m:02d}-01", f"{y}-{m:02d}-28") for y in
     SELECT CAST(query_id AS BIGINT) AS query_id, count(*) AS n FROM w JOIN docs ON start_date <= hi AND coalesce(end_date, DATE '9999-12-31') >= lo GROUP BY query_id"""
 )
 def d_windows(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.window_overlaps(records(spark, d), _MONTHS).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return temporal.window_overlaps(records(spark, d, text=False), _MONTHS).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {_DOCS}, w AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS query_id, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders GROUP BY 1),
+    m AS (SELECT query_id, CAST(lo + INTERVAL 28 YEAR AS DATE) AS lo, CAST(hi + INTERVAL 28 YEAR AS DATE) AS hi FROM w)
+    SELECT query_id, doc_id FROM m JOIN docs ON start_date <= hi AND coalesce(end_date, DATE '9999-12-31') >= lo"""
+)
+def d_window_join(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    months = table(spark, d, "orders").groupBy((F.year(day) * 100 + F.month(day)).cast("long").alias("query_id")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    moved = months.select("query_id", *[F.add_months(c, 28 * 12).alias(c) for c in ("lo", "hi")])  # to the years of the records
+    return temporal.window_join(records(spark, d, text=False), moved)
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date < DATE '2023-07-15'")
 def d_bitslice_lt(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.sliced_start_before(records(spark, d), "2023-07-15")
+    return temporal.sliced_start_before(records(spark, d, text=False), "2023-07-15")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id FROM docs WHERE start_date BETWEEN DATE '2022-11-01' AND DATE '2023-07-15'")
 def d_bitslice_between(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.sliced_start_between(records(spark, d), "2022-11-01", "2023-07-15")
+    return temporal.sliced_start_between(records(spark, d, text=False), "2022-11-01", "2023-07-15")
 
 
 # Phrases (P) -----------------------------------------------------------------------------------------------------------
@@ -288,14 +338,44 @@ def ph_postings(spark: SparkSession, d: str) -> DataFrame:
     return positional.positional_postings(_tokens(spark, d))
 
 
+_STEM_PHRASE = f"{_STEM_POS} SELECT a.doc_id, a.pos AS start FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'search' AND b.term = 'index'"
+
+
+@query(_STEM_PHRASE)
+def ph_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return positional.phrase_positions(token_table(records(spark, d), POSITIONAL), POSITIONAL.of_query("Searching indexes"))
+
+
+def _positional_index(spark: SparkSession, d: str) -> PositionalIndex:
+    return PositionalIndex.load(spark, stored(spark, d, "positional", lambda path: PositionalIndex(records(spark, d).select("doc_id", "text")).save(path)))
+
+
+@query(_STEM_PHRASE)
+def ph_saved(spark: SparkSession, d: str) -> DataFrame:
+    return _positional_index(spark, d).phrase_positions("Searching indexes")
+
+
+@query(f"{_STEM_POS} SELECT term, doc_id, list(pos ORDER BY pos) AS positions, CAST(count(*) AS INTEGER) AS tf FROM tok GROUP BY term, doc_id")
+def ph_saved_postings(spark: SparkSession, d: str) -> DataFrame:
+    return _positional_index(spark, d).postings
+
+
 # Ranking (R) -----------------------------------------------------------------------------------------------------------
 
-_STATS = f"""WITH {_DOCS}, n AS (SELECT greatest(count(*), 1) AS n FROM docs), tf AS (SELECT term, doc_id, count(*) AS tf FROM ({_tokens_sql('docs', _NO_STOP)}) GROUP BY term, doc_id),
+_KEPT = f"kept AS ({_tokens_sql('docs', _NO_STOP)})"
+_STEM_KEPT = f"raw AS ({_tokens_sql('docs', _RAW)}), {stem_tables('raw')}, kept AS (SELECT doc_id, stem AS term FROM raw JOIN stemmed USING (term) WHERE stem NOT IN ({_ALL_STOP}))"
+
+
+def _stats_sql(kept: str) -> str:
+    return f"""WITH {_DOCS}, {kept}, n AS (SELECT greatest(count(*), 1) AS n FROM docs), tf AS (SELECT term, doc_id, count(*) AS tf FROM kept GROUP BY term, doc_id),
     st AS (SELECT term, count(*) AS df, ln((max(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term),
     wt AS (SELECT tf.term, doc_id, tf, idf, (1 + ln(tf)) * idf AS w FROM tf JOIN st USING (term)),
     nm AS (SELECT doc_id, sum(tf) AS length, sqrt(sum(w * w)) AS norm FROM wt GROUP BY doc_id)"""
 
 
+_STATS = _stats_sql(_KEPT)
+
+
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     docs = records(spark, d)
     return ranking.term_weights(ranking.term_counts(docs, _RANK), ranking.document_count(docs))
@@ -366,17 +446,46 @@ def r_inexact_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QX = "qq(query_id, term, tp) AS (VALUES (0, 'index', 0), (0, 'поиск', 1), (0, 'query', 2), (0, 'bloom', 3))"
+_COSINE = f"cs AS (SELECT sc.doc_id, round(score / norm / (SELECT sqrt(sum(wq * wq)) FROM qw), 9) AS score FROM sc JOIN nm USING (doc_id))"
+_TOP = "SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs ORDER BY score DESC, doc_id LIMIT 10"
+_INEXACT_TOP = f"{_INEXACT.format(q=_QX, k=10, t=30)}, {_QW}, {_COSINE} {_TOP.replace('FROM cs', 'FROM (SELECT * FROM cs WHERE doc_id IN (SELECT doc_id FROM cand))')}"
 
 
-@query(
-    _INEXACT.format(q=_QX, k=10, t=30)
-    + f""", {_QW}, cs AS (SELECT sc.doc_id, round(score / norm / (SELECT sqrt(sum(wq * wq)) FROM qw), 9) AS score FROM sc JOIN nm USING (doc_id) WHERE sc.doc_id IN (SELECT doc_id FROM cand))
-    SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cs ORDER BY score DESC, doc_id LIMIT 10"""
-)
+def _with_stems(sql: str) -> str:
+    """The same query over stems: the stem of 'query' is 'queri', the other terms are their own."""
+    return sql.replace(_KEPT, _STEM_KEPT).replace("'query'", "'queri'")
+
+
+@query(_INEXACT_TOP)
 def r_inexact_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, "vector", inexact=True)
 
 
+def _ranked_index(spark: SparkSession, d: str) -> RankedSearch:
+    return RankedSearch.load(spark, stored(spark, d, "ranked", lambda path: RankedSearch(records(spark, d).select("doc_id", "text")).save(path)))
+
+
+@query(_with_stems(f"{_STATS}, {_QW}, {_COSINE} {_TOP}"))
+def r_stemmed_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = ranking.RankedIndex.build(records(spark, d), RANKED)
+    return ranking.search(index, ranking.query_table(index.weights, [(0, _QUERY)], RANKED), 10).select("doc_id", "score", "rank")
+
+
+@query(_with_stems(f"{_STATS}, {_QW}, {_COSINE} {_TOP}"))
+def r_saved_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_index(spark, d).search_vector(_QUERY, 10)
+
+
+@query(_with_stems(_INEXACT_TOP))
+def r_saved_inexact(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_index(spark, d).search_inexact_top_k(_QUERY, 10)
+
+
+@query(_with_stems(f"{_STATS} SELECT term, df, round(idf, 9) AS idf FROM st"))
+def r_saved_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_index(spark, d).index.stats.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 @query(
     f"""{_STATS}, qt AS (SELECT query_id, unnest({_NO_STOP.replace('text', 'query')}) AS term FROM rank_queries), q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY 1, 2),
     qw AS (SELECT query_id, q.term, (1 + ln(qtf)) * idf AS wq FROM q JOIN st USING (term)), qn AS (SELECT query_id, sqrt(sum(wq * wq)) AS qnorm FROM qw GROUP BY 1),
@@ -387,10 +496,8 @@ def r_inexact_topk(spark: SparkSession, d: str) -> DataFrame:
 def r_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     asked, index = table(spark, d, "rank_queries"), _index(spark, d)
     scored = ranking.score(ranking.queries_of_table(asked, _RANK), index.weights, index.norms, index.stats)
-    scored = scored.join(asked.select("query_id", "top_k", "model"), "query_id")
-    rounded = scored.withColumn("score", F.round(F.when(F.col("model") == "tfidf", F.col("dot")).otherwise(F.col("cosine")), 9))
-    ranked = rounded.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
-    return ranked.where("rank <= top_k").select("query_id", "doc_id", "score", "rank")
+    scored = scored.join(asked.select("query_id", "model"), "query_id")
+    return ranking.top_k_of_each(scored.withColumn("score", F.when(F.col("model") == "tfidf", F.col("dot")).otherwise(F.col("cosine"))), asked)
 
 
 @query(f"WITH {_DOCS} SELECT count(*) AS n_docs FROM docs")
@@ -453,6 +560,54 @@ def k_compact(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("key", "value", "seq")
 
 
+_STORE = """WITH log AS (SELECT key, CAST(round(value * 100) AS BIGINT) AS cents, event_id AS seq, event_type = 'error' AS gone FROM
+    (SELECT 'k' || user_id AS key, value, event_id, event_type FROM events UNION ALL SELECT event_type || ':' || user_id, value, event_id, event_type FROM events)),
+    live AS (SELECT key, CAST(cents AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND NOT gone)"""
+
+
+def _store(spark: SparkSession, d: str) -> KeyValueStore:
+    """The events as a store of several runs and levels: three batches of changes, each of puts and deletions."""
+
+    def write(path: str) -> None:
+        log = event_log(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long").cast("string"))
+        store = KeyValueStore(spark, path, level_factor=2)
+        for level in (0, 1, 2):
+            batch = log.where(F.col("level") == level)
+            store.put(batch.where("op = 'U'"))
+            store.delete(batch.where("op = 'D'"))
+
+    return KeyValueStore(spark, stored(spark, d, "events_store", write), level_factor=2)
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.decode("value", "utf-8").alias("value"))
+
+
+@query(f"{_STORE} SELECT key, value FROM live WHERE key = 'click:8'")
+def ks_get(spark: SparkSession, d: str) -> DataFrame:
+    return _decoded(_store(spark, d).get("click:8"))
+
+
+@query(f"{_STORE} SELECT key, value FROM live WHERE key IN (SELECT 'k' || c_custkey FROM customer)")
+def ks_multiget_table(spark: SparkSession, d: str) -> DataFrame:
+    return _decoded(_store(spark, d).multi_get(table(spark, d, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("key"))))
+
+
+@query(f"{_STORE} SELECT key, value FROM live WHERE regexp_full_match(key, 'k[0-9]+') AND CAST(substr(key, 2) AS BIGINT) BETWEEN 9 AND 101")
+def ks_range(spark: SparkSession, d: str) -> DataFrame:
+    return _decoded(_store(spark, d).range("k9", "k101"))
+
+
+@query(f"{_STORE} SELECT key, value FROM live")
+def ks_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _decoded(_store(spark, d).scan())
+
+
+@query()
+def ks_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).report_stats()
+
+
 # Nearest points (N) ----------------------------------------------------------------------------------------------------
 
 
@@ -463,9 +618,10 @@ def k_compact(spark: SparkSession, d: str) -> DataFrame:
 )
 def n_nn_batch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = [(r["vec_id"], [-float(x) for x in r["embedding"]]) for r in e.where("vec_id % 50 = 0").select("vec_id", "embedding").toLocalIterator()]
     points = e.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("coords"))
-    return spatial.nearest_batch(points, asked).select("query_id", "point_id", F.round("distance", 9).alias("distance"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -x.cast("double")).alias("coords"))
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return kdtree.nearest_table(points, asked, dims).select("query_id", "point_id", F.round("distance", 9).alias("distance"))
 
 
 @query(
@@ -542,6 +698,24 @@ def s_occ(spark: SparkSession, d: str) -> DataFrame:
     return substring.occurrences(substring.suffix_array(_names(spark, d)), "e", 4)
 
 
+@query(
+    f"""{_SA}, {_SYM}, b AS (SELECT DISTINCT text_id, rank FROM x WHERE rank % 4 = 0), y AS (SELECT DISTINCT text_id, symbol FROM x)
+    SELECT b.text_id, b.rank, y.symbol, CAST(count(x.rank) AS BIGINT) AS occ FROM b JOIN y ON y.text_id = b.text_id
+    LEFT JOIN x ON x.text_id = b.text_id AND x.symbol = y.symbol AND x.rank < b.rank GROUP BY 1, 2, 3"""
+)
+def s_occ_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    return substring.occ_checkpoints(substring.suffix_array(_names(spark, d)), 4).select("text_id", "rank", F.ascii("symbol").alias("symbol"), "occ")
+
+
+@query(
+    """WITH s AS (SELECT item_id AS text_id, passage AS text, CAST(unnest(range(length(passage) + 1)) AS INTEGER) AS pos FROM eval_items WHERE passage IS NOT NULL)
+    SELECT text_id, CAST(row_number() OVER (PARTITION BY text_id ORDER BY substr(text, pos + 1)) - 1 AS INTEGER) AS rank, pos FROM s"""
+)
+def s_suffix_array_long(spark: SparkSession, d: str) -> DataFrame:
+    passages = table(spark, d, "eval_items").select(F.col("item_id").alias("text_id"), F.col("passage").alias("text"))
+    return substring.suffix_array(passages, long_text=400).select("text_id", "rank", "pos")
+
+
 # Persistence and streams (I) -------------------------------------------------------------------------------------------
 
 
@@ -566,3 +740,10 @@ def i_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT term, doc_id, positions FROM (WITH {_DOCS} SELECT term, doc_id, to_json(list(pos ORDER BY pos)) AS positions FROM ({_tokens_sql('docs', _RAW)}) GROUP BY term, doc_id)")
 def i_json_postings(spark: SparkSession, d: str) -> DataFrame:
     return positional.positional_postings(_tokens(spark, d)).select("term", "doc_id", F.to_json("positions").alias("positions"))
+
+
+@query(f"WITH {_DOCS} SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf FROM ({_tokens_sql('docs', _NO_STOP)}) GROUP BY term, doc_id")
+def i_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    counts = ranking.term_counts(records(spark, d), _RANK).withColumn("block", F.pmod("doc_id", F.lit(64)))  # postings of a hot term in several blobs
+    blobs = counts.groupBy("term", "block").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_id", "tf")))).alias("blob"))
+    return blobs.select("term", F.explode(decoded_postings(F.col("blob"))).alias("doc_id", "tf"))

@@ -53,12 +53,15 @@ def test_levels_of_the_store(spark, tmp_path):
         store.put(rows((f"k{i}", f"v{i}", i), ("k9", f"n{i}", i)))
     store.delete(rows(("k3", None, 10)).select("key", "seq"))
     again = KeyValueStore(spark, str(tmp_path / "kv"), level_factor=2)
-    assert [(r["key"], r["value"]) for r in again.scan().collect()] == [("k0", "v0"), ("k1", "v1"), ("k2", "v2"), ("k4", "v4"), ("k9", "n4")]
-    assert again.get("k3").count() == 0 and again.get("k9").first()["value"] == "n4"
+    assert [(r["key"], r["value"]) for r in again.scan().collect()] == [("k0", b"v0"), ("k1", b"v1"), ("k2", b"v2"), ("k4", b"v4"), ("k9", b"n4")]
+    assert again.get("k3").count() == 0 and again.get("k9").first()["value"] == b"n4"
     assert [r["key"] for r in again.range("k1", "k4").collect()] == ["k1", "k2", "k4"]
     levels = {r["level"] for r in again.report_stats().collect()}
     assert max(levels) >= 1 and sum(r["n_deletes"] for r in again.report_stats().collect()) == 1
+    assert all(r["n_bytes"] > 0 and r["n_runs"] > 0 for r in again.report_stats().collect())
+    held = again.scan()  # its files outlive the merge
     again.compact()
+    assert held.count() == 5 and [r["n_runs"] for r in again.report_stats().collect()] == [1]
     assert sum(r["n_deletes"] for r in again.report_stats().collect()) == 0 and again.multi_get(["k1", "k3"]).count() == 1
     again.cleanup()
     assert again.scan().count() == 0
