@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sondage.llm.packing import TOKEN, Bm25, pack_shard, pack_texts, split_items
+from sondage.llm.packing import TOKEN, Bm25, coverage, pack_shard, pack_texts, split_items
 
 
 def test_bm25_finds_the_related():
@@ -16,7 +17,7 @@ def test_bm25_finds_the_related():
 def test_containers_hold_every_piece_once():
     rng = np.random.default_rng(2)
     pieces = [rng.integers(0, 300, rng.integers(0, 60)).astype(np.int32) for _ in range(400)]
-    containers = pack_shard(pieces, 64)
+    containers = [[i for i, _ in c] for c in pack_shard(pieces, 64)]
     assert sorted(i for c in containers for i in c) == list(range(400))
     used = [sum(len(pieces[i]) for i in c) for c in containers]
     assert max(used) <= 64 and sum(used) / (64 * len(used)) > 0.97
@@ -26,7 +27,23 @@ def test_neighbours_share_a_container():
     rng = np.random.default_rng(3)
     pieces = [(rng.integers(0, 40, 10) + 1000 * (i % 8)).astype(np.int32) for i in range(320)]
     containers = pack_shard(pieces, 40)
-    assert np.mean([len({i % 8 for i in c}) for c in containers]) < 1.5
+    assert np.mean([len({i % 8 for i, _ in c}) for c in containers]) < 1.5
+    assert {c[0][1] for c in containers} == {"seed"} and np.mean([r == "neighbour" for c in containers for _, r in c[1:]]) > 0.9
+
+
+@pytest.mark.parametrize("neighbours", [1, 3, 64])
+def test_no_neighbour_that_fits_is_passed_over(neighbours):
+    rng = np.random.default_rng(4)
+    pieces = [rng.integers(0, 500, rng.integers(1, 12)).astype(np.int32) for _ in range(300)]
+    terms, used = [set(p.tolist()) for p in pieces], set()
+    for inside in pack_shard(pieces, 64, neighbours):
+        room, seed = 64, terms[inside[0][0]]
+        for i, role in inside:
+            if role == "filler":  # whatever still fits shares no term with the seed
+                assert not any(seed & terms[j] for j in range(300) if j not in used and len(pieces[j]) <= room)
+            used.add(i)
+            room -= len(pieces[i])
+    assert len(used) == 300
 
 
 def test_layout(spark):
@@ -48,6 +65,15 @@ def test_layout(spark):
     assert split == {i for i, t in enumerate(texts) if len(re.findall(TOKEN, t or "")) > 20}
 
 
+def test_a_third_of_rows_without_item(spark):
+    df = spark.createDataFrame([(None, "a b c")] * 3000 + [(7, "d")] * 3000 + [(i, "e f") for i in range(100, 3100)], "id long, text string")
+    layout = pack_texts(df, "id", capacity=12, shard_texts=300)
+    sizes = [r["count"] for r in layout.groupBy(F.shiftright("container", 32)).count().collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 600
+    got = coverage(pack_texts(df.where("id >= 100"), "id", capacity=12))
+    assert got.where("whole AND fits AND n_tokens = 2 AND pieces = 1").count() == 3000
+
+
 def test_repeated_and_missing_items(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "id long, text string")
     rows = pack_texts(df, "id", capacity=4).collect()
