@@ -14,10 +14,13 @@ from ..sources.tables import checkpoint_dir
 from .onebit import Codes, nearest_in_cell, rotation
 from .topn import top_n_per_group
 
-#: Distinct vectors to which the centroids are fitted, at most: a hash sample; all vectors are indexed all the same.
+#: Distinct vectors to which the centroids are fitted, at most: a hash sample; all vectors are indexed all the same. It also is
+#: the largest number of first centroids, which beyond 10^8 vectors makes cells larger than the root of their number.
 FIT_SAMPLE = 20_000
-#: Queries that one task compares with a cell at a time.
-CELL_QUERIES = 20_000
+#: Vectors of a cell, and queries that visit it, which one task compares; a cell of more is shared by several tasks on either side.
+CELL_VECTORS, CELL_QUERIES = 20_000, 20_000
+#: Times that cells far over the average get centroids of their own, at most.
+REFINEMENTS = 8
 
 
 def valid_vectors(rows: DataFrame, item: str, coords: str, dims: int) -> DataFrame:
@@ -59,6 +62,25 @@ def _assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(nearest, "class long, n long, coords array<double>, ids array<long>, cell int, reach double")
 
 
+def refined(vectors: DataFrame, dims: int, cells: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
+    """The vectors with their cells, the centroids, and each cell's size and reach. Cells far over the average get centroids of their own vectors, as long as that makes the largest smaller."""
+    fit = vectors.select("class", "coords").orderBy(F.xxhash64("class"), "class").limit(FIT_SAMPLE).toPandas()
+    centroids = _fit(_stack(fit["coords"], dims), cells) if len(fit) else np.zeros((1, dims))
+    largest = np.inf
+    for turn in range(REFINEMENTS + 1):
+        indexed = _assign(vectors, centroids).checkpoint()
+        shape = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).toPandas()
+        mean = shape["n"].sum() / len(centroids)
+        large = shape[shape["n"] > max(2000, 8 * mean)]
+        if large.empty or turn == REFINEMENTS or large["n"].max() > 0.9 * largest:
+            break
+        largest = large["n"].max()
+        more = int(min(FIT_SAMPLE, large["n"].sum() // max(500, mean)))
+        wanted = indexed.where(F.col("cell").isin(large["cell"].tolist())).orderBy(F.xxhash64("class", F.lit(turn)), "class").select("coords").limit(more)
+        centroids = np.concatenate([centroids, _stack(wanted.toPandas()["coords"], dims)])
+    return indexed, centroids, shape
+
+
 def _expanded(rows: np.ndarray, cols: np.ndarray, square: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The items behind distinct vectors: of each row the k first by distance, then item. Rows come grouped."""
     n = np.array([len(x) for x in ids])[cols] if len(cols) else np.zeros(0, int)
@@ -88,36 +110,23 @@ def nearest_vectors(
 
     1. Equal vectors become one, with its k + 1 smallest ids and its number of copies, so copies make no pairs.
     2. About cells_per_root * sqrt(n) centroids are fitted to FIT_SAMPLE vectors; every vector goes to its nearest centroid.
-       Cells far over the average get further centroids from their own vectors.
+       As long as it helps, cells far over the average get further centroids from their own vectors.
     3. In its own cell each vector finds k neighbours, which bound its search radius. A cell beyond is visited only if the
        plane between the two centroids and the reach of that cell let one of its vectors lie within the radius.
     4. Both steps estimate distances from one-bit codes and measure exactly only what the error bound leaves open.
-    Cells visited by many vectors are shared by several tasks. Items without `dims` finite elements are no vectors; an
+    Cells of many vectors, such as near-equal ones, and cells visited by many are split by hashes on both sides, so that no
+    task gets more than CELL_VECTORS of one and CELL_QUERIES of the other. Jobs for the centroids run first, over one
+    checkpoint of the vectors and one of their cells. Items without `dims` finite elements are no vectors; an
     empty table gives an empty result.
     """
     spark = rows.sparkSession
     checkpoint_dir(spark)
-    turn = rotation(dims)
+    turn_by = rotation(dims)
     valid = valid_vectors(rows, item, coords, dims)
     first = top_n_per_group(valid, "coords", F.lit(0), "item", k + 1).groupBy("coords").agg(F.array_sort(F.collect_list("item")).alias("ids"))
     sizes = valid.groupBy("coords").agg(F.count(F.lit(1)).alias("n"))
     vectors = sizes.join(first, "coords").select(F.get("ids", F.lit(0)).alias("class"), "n", "coords", "ids").checkpoint()
-    fit = vectors.select("class", "coords").orderBy(F.xxhash64("class"), "class").limit(FIT_SAMPLE).toPandas()
-    n = vectors.count()
-    centroids = _fit(_stack(fit["coords"], dims), round(cells_per_root * n**0.5)) if n else np.zeros((1, dims))
-    for last in (False, False, True):
-        indexed = _assign(vectors, centroids)
-        if last:
-            indexed = indexed.checkpoint()
-        shape = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).toPandas()
-        mean = n / len(centroids)
-        large = shape[shape["n"] > max(2000, 8 * mean)]
-        if last or large.empty:
-            break
-        wanted = indexed.where(F.col("cell").isin(large["cell"].tolist())).orderBy(F.xxhash64("class", F.lit(1)), "class").select("coords").limit(int(min(FIT_SAMPLE, large["n"].sum() // max(500, mean))))
-        centroids = np.concatenate([centroids, _stack(wanted.toPandas()["coords"], dims)])
-    if not last:
-        indexed = indexed.checkpoint()
+    indexed, centroids, shape = refined(vectors, dims, round(cells_per_root * vectors.count() ** 0.5))
     reach = np.full(len(centroids), -1.0)
     reach[shape["cell"].to_numpy(int)] = shape["reach"]
     limit = np.inf if max_distance is None else max_distance**2 * (1 + 1e-12)
@@ -136,41 +145,64 @@ def nearest_vectors(
             found = [c if len(c) <= max_probes else c[np.argsort(from_centre[i][c], kind="stable")[:max_probes]] for i, c in enumerate(found)]
         return [c.astype(np.int32) for c in found]
 
+    def looked(f: pd.DataFrame, x: np.ndarray, cell: int, items: list[np.ndarray], distances: list[np.ndarray]) -> pd.DataFrame:
+        """What each vector of a cell has found there, and the cells that it has to look into beside."""
+        radius = np.array([d[k - 1] if len(d) >= k else np.sqrt(limit) for d in distances])
+        out = f[["class", "coords"]].copy()
+        out["radius"] = radius
+        out["probes"] = [c for at in range(0, len(x), 1000) for c in probes(x[at : at + 1000], cell, radius[at : at + 1000])]
+        out["items"], out["distances"] = items, distances
+        return out
+
     def own_cell(f: pd.DataFrame) -> pd.DataFrame:
         x, keys, cell = _stack(f["coords"], dims), f["class"].to_numpy(), int(f["cell"].iloc[0])
         ids = [np.asarray(i, np.int64) for i in f["ids"]]
-        codes = Codes(x, centroids[cell], turn)
-        parts = list(nearest_in_cell(codes, x, keys, x, keys, np.full(len(x), limit), k, epsilon))
+        parts = list(nearest_in_cell(Codes(x, centroids[cell], turn_by), x, keys, x, keys, np.full(len(x), limit), k, epsilon))
         rows, items, distance = _expanded(*(np.concatenate(p) for p in zip(*parts)), ids, k)
-        counts = np.bincount(rows, minlength=len(x))
-        ends = np.cumsum(counts)
-        radius = np.full(len(x), np.sqrt(limit))
-        full = counts >= k
-        radius[full] = distance[ends[full] - 1]
-        look = [c for at in range(0, len(x), 1000) for c in probes(x[at : at + 1000], cell, radius[at : at + 1000])]
-        out = f[["class", "coords"]].copy()
-        out["radius"], out["probes"] = radius, look
-        out["items"], out["distances"] = np.split(items, ends[:-1]), np.split(distance, ends[:-1])
-        return out
-
-    started = indexed.groupBy("cell").applyInPandas(own_cell, "class long, coords array<double>, radius double, probes array<int>, items array<long>, distances array<double>").checkpoint()
-    visits = started.select("class", "coords", "radius", F.explode("probes").alias("cell"))
-    shares = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("shares"))  # a row for each cell: bounded by the centroids
-    asked = visits.join(F.broadcast(shares), "cell").withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")).drop("shares")
-    held = indexed.select("class", "coords", "ids", "cell").join(F.broadcast(shares), "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        ends = np.cumsum(np.bincount(rows, minlength=len(x)))[:-1]
+        return looked(f, x, cell, np.split(items, ends), np.split(distance, ends))
 
-    def other_cell(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+    def in_part(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if data.empty or ask.empty:
             return pd.DataFrame({"class": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "distance": np.zeros(0)})
         x, keys, q, own = _stack(data["coords"], dims), data["class"].to_numpy(), _stack(ask["coords"], dims), ask["class"].to_numpy()
         ids = [np.asarray(i, np.int64) for i in data["ids"]]
-        codes = Codes(x, centroids[int(data["cell"].iloc[0])], turn)
+        codes = Codes(x, centroids[int(data["cell"].iloc[0])], turn_by)
         square = ask["radius"].to_numpy() ** 2 * (1 + 1e-9)
         parts = list(nearest_in_cell(codes, x, keys, q, own, square, k, epsilon))
         rows, items, distance = _expanded(*(np.concatenate(p) for p in zip(*parts)), ids, k)
         return pd.DataFrame({"class": own[rows], "neighbour": items, "distance": distance})
 
-    beyond = held.groupBy("cell", "share").cogroup(asked.groupBy("cell", "share")).applyInPandas(other_cell, "class long, neighbour long, distance double")
+    cell_parts = [(int(c), int(-(-size // CELL_VECTORS))) for c, size in zip(shape["cell"], shape["n"])] or [(-1, 1)]
+
+    def answered(visits: DataFrame) -> DataFrame:
+        """(class, neighbour, distance) from visits (class, coords, radius, cell): each cell in parts by vector and shares by visitor."""
+        shares = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("shares"))  # a row for each cell: bounded by the centroids
+        plan = F.broadcast(shares.join(spark.createDataFrame(cell_parts, "cell int, parts int"), "cell"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        by_class = lambda c: F.pmod(F.xxhash64("class"), F.col(c)).cast("int")
+        asked = visits.join(plan, "cell").withColumn("share", by_class("shares")).withColumn("part", every("parts")).drop("shares", "parts")
+        held = indexed.select(*[F.col(c).alias(c) for c in ("class", "coords", "ids", "cell")]).join(plan, "cell").withColumn("part", by_class("parts")).withColumn("share", every("shares")).drop("shares", "parts")
+        keys = ("cell", "part", "share")
+        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(in_part, "class long, neighbour long, distance double")
+
+    shape_of_started = "class long, coords array<double>, radius double, probes array<int>, items array<long>, distances array<double>"
+    hot = [c for c, parts in cell_parts if parts > 1]
+    started = (indexed.where(~F.col("cell").isin(hot)) if hot else indexed).groupBy("cell").applyInPandas(own_cell, shape_of_started)
+    if hot:
+        crowd = indexed.where(F.col("cell").isin(hot)).select(*[F.col(c).alias(c) for c in ("class", "coords", "cell")])
+        best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
+        near = answered(crowd.withColumn("radius", F.lit(float(np.sqrt(limit))))).groupBy("class").agg(best.alias("b"))
+        both = crowd.join(near, "class", "left").select("class", "coords", "cell", F.coalesce(F.col("b.neighbour"), F.array()).alias("items"), F.coalesce(F.col("b.distance"), F.array()).alias("distances"))
+
+        def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for cell, g in f.groupby("cell"):
+                    yield looked(g, _stack(g["coords"], dims), int(cell), list(g["items"]), list(g["distances"]))
+
+        started = started.unionByName(both.mapInPandas(look, shape_of_started))
+    started = started.checkpoint()
+    beyond = answered(started.select("class", "coords", "radius", F.explode("probes").alias("cell")))
     pair = F.struct(F.col("distance"), F.col("neighbour"))
     zipped = F.transform(F.arrays_zip("distances", "items"), lambda z: F.struct(z["distances"].alias("distance"), z["items"].alias("neighbour")))
     lists = started.select("class", zipped.alias("found")).unionByName(beyond.groupBy("class").agg(F.collect_list(pair).alias("found")))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from sondage.llm import neighbours
 from sondage.llm.neighbours import nearest_vectors
 from sondage.llm.onebit import Codes, rotation
 
@@ -53,6 +54,33 @@ def test_exact_against_brute_force(spark, most):
     assert got == want
 
 
+def test_a_crowd_of_near_equal_vectors(spark, monkeypatch):
+    """Cells are refined, and what stays over the bound is split on both sides: no group exceeds it, and the result stays exact."""
+    monkeypatch.setattr(neighbours, "CELL_VECTORS", 300)
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", 250)
+    split = neighbours.nearest_in_cell
+
+    def watched(codes, x, keys, queries, own, *more):
+        assert len(x) <= 400 and len(queries) <= 400, (len(x), len(queries))
+        return split(codes, x, keys, queries, own, *more)
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.round(1000 + 1e-6 * rng.normal(size=(1500, 4)), 12), rng.normal(size=(300, 4))])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, x)], "id long, v array<double>")
+    monkeypatch.setattr(neighbours, "nearest_in_cell", watched)
+    got = found(nearest_vectors(df, "id", "v", 4, 3, cells_per_root=0.05))
+    assert got == brute(ids, x, 3)
+
+
+def test_refinement_bounds_the_cells(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([1 + 1e-3 * rng.normal(size=(50_000, 4)), 100 * rng.normal(size=(500, 4))])
+    df = spark.createDataFrame([(i, 1, p, [i]) for i, p in enumerate(x.tolist())], "class long, n long, coords array<double>, ids array<long>")
+    sizes = [r["count"] for r in neighbours.refined(df, 4, 50)[0].groupBy("cell").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= neighbours.CELL_VECTORS
+
+
 def test_few_probes_keep_recall(spark):
     x, ids = clustered(1500, 16, 3), np.arange(1500)
     df = spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, x)], "id long, v array<double>")
