@@ -50,7 +50,9 @@ def join_key_stats(rows: DataFrame, stats: DataFrame, key: str, n_rows: str, sha
     cut = F.lit(share) * stats.agg(F.coalesce(F.sum(n_rows), F.lit(0)).alias("n")).scalar()
     carried = F.struct(*[F.col(c) for c in stats.columns if c != key])
     hot = stats.where(F.col(n_rows) >= cut).select(key, carried.alias("_hot"))
-    cold = stats.where(F.col(n_rows) < cut).select(key, carried.alias("_cold"), F.lit(0).alias("_salt"))
+    # 0, but no literal: the optimizer would take one out of the join's keys, and hot keys would meet in one task
+    zero = F.pmod(F.col(n_rows), F.lit(1)).cast("int").alias("_salt")
+    cold = stats.where(F.col(n_rows) < cut).select(key, carried.alias("_cold"), zero)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(1024)).cast("int") + 1
     flagged = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0))
     joined = flagged.join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold")).where(F.col("_found").isNotNull())

@@ -35,6 +35,17 @@ def test_join_with_hot_and_cold_keys(spark):
     assert join_key_stats(skewed(spark).limit(0), stats.limit(0), "key", "n_rows").count() == 0
 
 
+def test_hot_keys_are_spread_in_the_plan(spark):
+    stats = keyed_aggregate(skewed(spark), "key", [F.count(F.lit(1)).alias("n_rows")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = join_key_stats(skewed(spark), stats, "key", "n_rows", 0.1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert join.count("_salt") == 2, join
+
+
 def test_current_postings(spark, rows):
     log = [("Index", 1, 2, 1, "x"), (" index\t", 1, 5, 3, "x"), ("index", 1, 4, 2, "x"), ("index", 2, 3, 1, "x"), ("INDEX", 2, 0, 9, "x"), (None, 1, 1, 1, "x"), (" \t", 1, 1, 1, "x"), ("a", 1, None, 9, "x"), ("a", 1, 7, 1, "x"), ("b", 3, 1, 5, "x"), ("b", 3, 2, 5, "x"), ("b", 3, 1, None, "x"), ("c", None, 1, 1, "x"), ("d", 4, -1, 1, "x"), ("e", 5, 2**31 - 1, 2**62, "x"), ("f", 6, 3, -5, "x")]
     df = spark.createDataFrame(log, "term string, doc_id long, tf int, seq long, _newest string")
