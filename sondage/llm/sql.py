@@ -1,5 +1,7 @@
 """The same results in DuckDB's SQL, where SQL can say them."""
 
+from .encodings import QUOTED
+
 _CURRENT = """
     SELECT term, doc_id, tf FROM (
         SELECT lower(trim(term, chr(32) || chr(9))) AS term, doc_id, tf,
@@ -34,6 +36,8 @@ _NEAREST = """
                FROM v a JOIN v b ON a.point_id <> b.point_id)
     SELECT * FROM ranked WHERE rn <= 5"""
 
+_QUOTED_WORD = QUOTED.replace("'", "''")
+
 ORACLES = {
     "p1_found": f"SELECT term, mark FROM ({_FREQUENCIES}) WHERE mark IS NOT NULL",
     "p1_terms": _FREQUENCIES,
@@ -42,5 +46,11 @@ ORACLES = {
     "p4_found": f"SELECT term, doc_id FROM ({_CHAMPIONS})",
     "p4_champions": _CHAMPIONS,
     "p5_found": f"SELECT DISTINCT least(a, b) AS point_id_a, greatest(a, b) AS point_id_b FROM ({_NEAREST}) WHERE dist <= 1.0",
+    "p5_neighbours": f"SELECT a AS point_id, b AS neighbour, CAST(rn AS INTEGER) AS rank, round(dist, 6) AS distance FROM ({_NEAREST})",
+    "p6_coverage": """SELECT doc_id, n AS n_tokens, greatest(CAST(ceil(n / 512.0) AS BIGINT), 1) AS pieces, true AS whole, true AS fits
+        FROM (SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё_-]+')), 0) AS BIGINT) AS n FROM documents)""",
     "p6_found": "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё_-]+')) > 512",
+    "p7_verbatim": "SELECT doc_id, item_id FROM documents JOIN eval_items ON contains(text, passage) WHERE len(regexp_extract_all(passage, '[^ ]+')) >= 12",
+    "p8_replaced": f"""SELECT doc_id FROM documents WHERE contains(text, chr(65533))
+        AND len(list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]+'), lambda w: contains(w, chr(65533)) AND NOT regexp_matches(w, '{_QUOTED_WORD}'))) > 0""",
 }

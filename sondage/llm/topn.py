@@ -7,16 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def subgroup(item: Column, subgroups: int) -> Column:
+#: Rows of one subgroup at most, were all rows of one group, and the least number of subgroups.
+SUBGROUP_ROWS, LEAST_SUBGROUPS = 5_000_000, 32
+
+
+def subgroups_for(rows: DataFrame) -> Column:
+    """So many subgroups that one of a group with all of these rows has about SUBGROUP_ROWS: a scalar subquery. `rows` should be cheap to count, as a stored table is."""
+    return rows.agg(F.greatest(F.lit(LEAST_SUBGROUPS), F.ceil(F.count(F.lit(1)) / SUBGROUP_ROWS)).alias("n")).scalar()
+
+
+def subgroup(item: Column, subgroups: int | Column) -> Column:
     """The subgroup of an item within its group, from a hash of its identifier."""
-    return F.pmod(F.xxhash64(item), F.lit(subgroups)).cast("int")
+    return F.pmod(F.xxhash64(item), subgroups if isinstance(subgroups, Column) else F.lit(subgroups)).cast("int")
 
 
-def top_n_per_group(rows: DataFrame, group: str, score: Column, item: str, n: int, subgroups: int = 32, salted: str | None = None) -> DataFrame:
+def top_n_per_group(rows: DataFrame, group: str, score: Column, item: str, n: int, subgroups: int | Column = LEAST_SUBGROUPS, salted: str | None = None) -> DataFrame:
     """The n rows of highest score of every group, equal scores in order of `item`, with column `rank` from 1.
 
     Two stages: each group is hashed by item into subgroups, of each of which n survive; survivors, at most
-    n * subgroups of a group, are ranked by score and item. A group of a third of all rows is thus ranked in `subgroups` tasks.
+    n * subgroups of a group, are ranked by score and item. A group of a third of all rows is thus ranked in `subgroups` tasks;
+    their number is to fit the largest group (`subgroups_for` takes it from the size of a table).
     `salted` names a column that already has the subgroup of each row, if rows are partitioned by it. Rows with a NULL
     group are left out; NULL scores come last; rows equal in score and item in any order, all counting. Groups
     smaller than n come out whole; n below 1 is an error. All columns of `rows` are kept, whatever their names, but for an older `rank`.

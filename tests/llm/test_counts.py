@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from sondage.llm import topn
 from sondage.llm.champions import champion_lists
-from sondage.llm.distinctive import distinctive_terms, dominant_terms
+from sondage.llm.distinctive import distinctive_terms, dominant_terms, weighted_terms
 from sondage.llm.frequencies import term_frequencies, text_term_frequencies
 from sondage.llm.topn import top_n_per_group
 
@@ -47,27 +48,39 @@ def by_hand(rows, n_records, prior=1000.0):
 @pytest.mark.parametrize("share", [0.001, 0.3, 1.0])
 def test_distinctive_terms_equal_the_formula(spark, share):
     rows = [("the", d, 1 + d % 3) for d in range(60)] + [(f"t{d % 11}", d, 1 + d % 5) for d in range(60)] + [("own", 5, 9), ("x", 7, 1), ("y", 7, 1)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "term string, doc_id long, tf int, df int")
-    got = {(r["doc_id"], r["term"]): (r["weight"], r["norm"], r["log_odds"], r["z"]) for r in distinctive_terms(df, F.lit(60), hot_share=share).collect()}
+    df = log_of(spark, rows)
+    got = {(r["doc_id"], r["term"]): (r["weight"], r["norm"], r["log_odds"], r["z"]) for r in distinctive_terms(weighted_terms(df, F.lit(60), share), hot_share=share).collect()}
     want = by_hand(rows, 60)
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
-def test_dominant_terms(spark, rows):
+def log_of(spark, rows):
+    """The rows, older versions of some, and what is no posting."""
+    old = [(f" {t.upper()}\t", d, n + 7, 0, "x") for t, d, n in rows[::3]]
+    none = [(None, 1, 1, 1, "x"), (" ", 1, 1, 1, "x"), ("gone", 1, 5, 1, "x"), ("gone", 1, 0, 2, "x"), ("z", 1, None, 9, "x"), ("z", None, 1, 9, "x")]
+    return spark.createDataFrame([(*r, 1, "x") for r in rows] + old + none, "term string, doc_id long, tf int, seq long, _hot string")
+
+
+@pytest.mark.parametrize("share", [0.001, 0.2])
+def test_dominant_terms(spark, rows, share):
     data = [("big", 1, 40), ("a", 1, 1), ("b", 1, 1), ("c", 1, 1), ("big", 2, 40), ("a", 2, 1)] + [(t, d, 1) for d in range(3, 20) for t in "abc"]
-    df = spark.createDataFrame(data, "term string, doc_id long, tf int")
-    scored = distinctive_terms(df, F.lit(20))
-    assert rows(dominant_terms(scored)) == [(1, "big")]
-    every = dominant_terms(scored, share=0.0, min_terms=1, min_z=-1e9)
-    assert every.count() == len(data)
-    assert distinctive_terms(df.limit(0), F.lit(0)).count() == 0
+    weighted = weighted_terms(log_of(spark, data), F.lit(20), share)
+    assert rows(dominant_terms(weighted)) == [(1, "big")]
+    assert rows(dominant_terms(weighted, min_terms=2)) == [(1, "big"), (2, "big")]
+    scored = {(r["doc_id"], r["term"]): r for r in distinctive_terms(weighted).collect()}
+    assert len(scored) == len(data)
+    assert sorted(k for k, r in scored.items() if r["terms"] >= 4 and r["weight"] >= 0.9 * r["norm"]) == [(1, "big")]
+    with pytest.raises(ValueError):
+        dominant_terms(weighted, share=0.5)
+    empty = weighted_terms(log_of(spark, data).limit(0), F.lit(0))
+    assert distinctive_terms(empty).count() == dominant_terms(empty).count() == 0
 
 
 def test_a_collection_of_one_term(spark):
-    df = spark.createDataFrame([("a", 1, 3)], "term string, doc_id long, tf int")
-    r = distinctive_terms(df, F.lit(1)).first()
+    df = spark.createDataFrame([("a", 1, 3, 1)], "term string, doc_id long, tf int, seq long")
+    r = distinctive_terms(weighted_terms(df, F.lit(1))).first()
     assert r["log_odds"] is None and r["weight"] == pytest.approx(r["norm"])
 
 
@@ -94,3 +107,10 @@ def test_champion_lists(spark):
     got = [(r["term"], r["doc_id"]) for r in champion_lists(df, 3, subgroups=4).orderBy("term", "rank").collect()]
     assert got == [("t", 199), ("t", 7), ("t", 11), ("u", 1)]
     assert champion_lists(df.limit(0)).count() == 0
+
+
+def test_subgroups_grow_with_the_log(spark, monkeypatch):
+    df = spark.createDataFrame([("t", d, 1 + d % 4, d) for d in range(400)], "term string, doc_id long, tf int, seq long")
+    monkeypatch.setattr(topn, "SUBGROUP_ROWS", 4)
+    assert spark.range(1).select(topn.subgroups_for(df)).first()[0] == 100 and spark.range(1).select(topn.subgroups_for(df.limit(3))).first()[0] == 32
+    assert [r["doc_id"] for r in champion_lists(df, 3).orderBy("rank").collect()] == [3, 7, 11]
