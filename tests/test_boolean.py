@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -20,29 +21,45 @@ def dated(spark, items):
     return spark.createDataFrame([(i, t, d(a), d(b)) for i, (t, a, b) in enumerate(items)], "doc_id long, text string, start_date date, end_date date")
 
 
-def test_sets(spark):
-    post = boolean.boolean_postings(make(spark, ["cat dog mouse", "cat elephant", "dog tiger", "elephant tiger cat", "mouse tiger", None, ""]), BOOLEAN)
+WORDS = ["harbour", "lantern", "meadow", "orchard", "pebble", "quarry", "ribbon"]
+FIRST = dt.date(2031, 5, 1).toordinal()
+
+
+def random_records(seed, n=60):
+    """(text, start, end) with few words and days, so that sets of all sizes come out."""
+    rng = random.Random(seed)
+    day = lambda: dt.date.fromordinal(FIRST + rng.randint(0, 40)).isoformat()
+    return [(" ".join(rng.sample(WORDS, rng.randint(0, 4))), rng.choice([day(), day(), day(), None]), rng.choice([None, day()])) for _ in range(n)]
+
+
+def having(records, word):
+    return {i for i, (t, *_) in enumerate(records) if word in t.split()}
+
+
+def test_sets_equal_python_sets(spark):
+    records = random_records(1)
+    post = boolean.boolean_postings(make(spark, [t for t, *_ in records] + [None]), BOOLEAN)
     s = BOOLEAN.term_of_query
-    assert ids(boolean.query_and(post, "cat", "dog")) == [0]
-    assert ids(boolean.query_and(post, "cat", "cat")) == [0, 1, 3]
-    assert ids(boolean.query_or(post, s("elephant"), s("tiger"))) == [1, 2, 3, 4]
-    assert ids(boolean.query_and_not(post, "cat", "dog")) == [1, 3]
-    assert ids(boolean.query_and(post)) == ids(boolean.query_or(post)) == []
-    assert ids(boolean.query_term(post, "cat")) == [0, 1, 3]
-    assert ids(boolean.query_and(post, "cat", "missing")) == []
-
-
-def test_stems_and_stop_words(spark):
-    post = boolean.boolean_postings(make(spark, ["running fast", "runs quickly", "run won", "jogging slow", "the a and is in"]), BOOLEAN)
-    for word in ("running", "runs", "run"):
+    a, b, c = (having(records, w) for w in WORDS[:3])
+    terms = [s(w) for w in WORDS[:3]]
+    assert set(ids(boolean.query_term(post, terms[0]))) == a
+    assert set(ids(boolean.query_and(post, *terms, terms[0]))) == a & b & c
+    assert set(ids(boolean.query_or(post, *terms))) == a | b | c
+    assert set(ids(boolean.query_and_not(post, terms[0], terms[1]))) == a - b
+    assert ids(boolean.query_and(post)) == ids(boolean.query_or(post)) == ids(boolean.query_and(post, terms[0], "nowhere")) == []
+
+
+def test_words_of_one_stem_and_stop_words(spark):
+    post = boolean.boolean_postings(make(spark, ["the painting of a wall", "she paints", "painted by hand", "a pain"]), BOOLEAN)
+    for word in ("paint", "Painting", "painted"):
         assert ids(boolean.query_term(post, BOOLEAN.term_of_query(word))) == [0, 1, 2]
-    assert ids(boolean.query_term(post, "the")) == []
+    assert ids(boolean.query_term(post, "by")) == ids(boolean.query_term(post, "of")) == []
 
 
-def test_rare_and_frequent(spark):
-    texts = [" ".join(["frequent"] * (i % 2 == 0) + ["rare"] * (i % 100 == 0) + [f"unique_{i}"]) for i in range(2000)]
-    post = boolean.boolean_postings(make(spark, texts), BOOLEAN)
-    assert len(ids(boolean.query_and(post, BOOLEAN.term_of_query("frequent"), BOOLEAN.term_of_query("rare")))) == 20
+def test_a_hot_and_a_rare_term(spark):
+    post = boolean.boolean_postings(make(spark, [f"here{' seldom' if i % 97 == 0 else ''} own{i}" for i in range(1500)]), BOOLEAN)
+    both = boolean.query_and(post, BOOLEAN.term_of_query("here"), BOOLEAN.term_of_query("seldom"))
+    assert ids(both) == list(range(0, 1500, 97))
 
 
 def test_merge_is_a_union(spark):
@@ -50,28 +67,63 @@ def test_merge_is_a_union(spark):
     assert boolean.merge_postings(post, post).count() == post.count()
 
 
-TREES = [("alpha charlie", "2023-01-01", None), ("bravo charlie", "2023-02-01", None), ("delta", "2023-03-01", None), ("alpha delta", "2023-01-15", None), ("", "2023-01-20", None)]
-
-
-@pytest.mark.parametrize(
-    "tree, expected",
-    [
-        (("OR", ("AND", ("OR", ("TERM", "alpha"), ("TERM", "bravo")), ("TERM", "charlie")), ("AND_DATE", "delta", "2023-01-01", "2023-01-31", "appeared")), [0, 1, 3]),
-        (("NOT", "alpha"), [1, 2, 4]),
-        (("AND",), [0, 1, 2, 3, 4]),
-        (("OR",), []),
-        ([], []),
-        ((), []),
-        (["alpha"], []),
-        (("AND_NOT", "alpha", "charlie"), [3]),
-        (("DATE", "2023-01-10", "2023-01-31", "appeared"), [3, 4]),
-        (("AND", ("NOT", "alpha"), ("NOT", "delta")), [1, 4]),
-        (("AND", "alpha", ("AND",)), [0, 3]),
-    ],
-)
-def test_trees(spark, tree, expected):
-    docs = dated(spark, TREES)
-    assert ids(boolean.query_tree(docs, boolean.boolean_postings(docs, DATED), tree, DATED)) == expected
+def random_tree(rng, depth):
+    op = rng.choice(["word", "TERM"] if depth == 0 else ["AND", "OR", "NOT", "AND_NOT", "DATE", "AND_DATE", "word"])
+    inner = lambda: random_tree(rng, depth - 1)
+    day = lambda: rng.choice([None, dt.date.fromordinal(FIRST + rng.randint(0, 40)).isoformat()])
+    if op == "word":
+        return rng.choice(WORDS)
+    if op == "TERM":
+        return ("TERM", rng.choice(WORDS))
+    if op in ("AND", "OR"):
+        return (op, *[inner() for _ in range(rng.randint(0, 3))])
+    if op == "NOT":
+        return ("NOT", inner())
+    if op == "AND_NOT":
+        return ("AND_NOT", inner(), inner())
+    filtered = (day(), day(), rng.choice(["valid", "appeared"]))
+    return ("DATE", *filtered) if op == "DATE" else ("AND_DATE", inner(), *filtered)
+
+
+def dates_match(record, start, end, mode):
+    _, begins, ends = record
+    last = (ends or "9999-12-31") if mode == "valid" else begins
+    return begins is not None and (end is None or begins <= end) and (start is None or last >= start)
+
+
+def evaluated(tree, records):
+    every = set(range(len(records)))
+    if isinstance(tree, str):
+        return having(records, tree)
+    op, *args = tree
+    if op == "TERM":
+        return having(records, args[0])
+    if op == "DATE":
+        return {i for i in every if dates_match(records[i], *args)}
+    if op == "AND_DATE":
+        return {i for i in evaluated(args[0], records) if dates_match(records[i], *args[1:])}
+    sets = [evaluated(a, records) for a in args]
+    if op == "AND":
+        return every.intersection(*sets)
+    if op == "OR":
+        return set().union(*sets)
+    return every - sets[0] if op == "NOT" else sets[0] - sets[1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_trees_equal_their_evaluation(spark, seed):
+    records = random_records(seed)
+    docs, tree = dated(spark, records), random_tree(random.Random(100 + seed), 3)
+    assert set(ids(boolean.query_tree(docs, boolean.boolean_postings(docs, DATED), tree, DATED))) == evaluated(tree, records)
+
+
+@pytest.mark.parametrize("tree, expected", [(("AND",), {0, 1}), (("OR",), set()), ([], set()), ((), set()), (["lantern"], set()), (("AND", "lantern", ("AND",)), {1})])
+def test_edges_of_trees(spark, tree, expected):
+    docs = dated(spark, TREES[:2])
+    assert set(ids(boolean.query_tree(docs, boolean.boolean_postings(docs, DATED), tree, DATED))) == expected
+
+
+TREES = [("harbour", "2031-05-01", None), ("lantern meadow", "2031-06-10", None), ("harbour lantern", "2031-06-20", None)]
 
 
 @pytest.mark.parametrize("tree", [("NOT", "a", "b"), ("NOT",), ("AND_NOT", "a"), ("XOR", "a", "b"), ("AND_DATE", "a", "2023-01-01"), ("DATE", "2023-01-01", "bad", "valid"), ("DATE", None, None, "when"), ("OR", "a", ("XOR",))])
@@ -84,7 +136,7 @@ def test_bad_trees(spark, tree):
 def test_outer_dates(spark):
     docs = dated(spark, TREES)
     post = boolean.boolean_postings(docs, DATED)
-    assert ids(boolean.query_tree(docs, post, ("OR", "alpha", "bravo"), DATED, "2023-02-01", "2023-02-28", "appeared")) == [1]
+    assert ids(boolean.query_tree(docs, post, ("OR", "harbour", "meadow"), DATED, "2031-06-01", "2031-06-15", "appeared")) == [1]
 
 
 DATES = [("a", "2023-01-01", "2023-01-31"), ("b", "2023-01-15", "2023-02-15"), ("c", "2023-02-01", None)]

@@ -15,6 +15,7 @@ def one(df):
     return (got[0]["point_id"], got[0]["coords"], got[0]["distance"]) if got else None
 
 
+# points and patterns of known results (fixed values)
 def test_nearest_examples(spark):
     p = points(spark, [(2.0, 3.0), (5.0, 4.0), (9.0, 6.0), (4.0, 7.0), (8.0, 1.0), (7.0, 2.0)])
     assert one(spatial.nearest_neighbor(p, (9, 2))) == (4, [8.0, 1.0], pytest.approx(2**0.5))

@@ -173,3 +173,17 @@ def test_postings_from_json(spark):
     assert got[0][1] == 2 and not {4, 5, 8, 9} & set(got[0]) and got[1] == got[2] == got[3] == got[4] == {}
     lists = spark.createDataFrame([('{"3":[0,2,"x",1.5],"y":[1],"4":5,"6":[]}',)], "b string")
     assert lists.select(decoded_postings(lists.b, positions=True).alias("m")).first()["m"] == {3: [0, 2], 6: []}
+
+
+def test_reads_are_counted(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sondage.sources.counters import Reads, collect_counted
+
+    rows = spark.range(20000).select(F.format_string("k%05d", "id").alias("key"), F.col("id").alias("v"))
+    rows.repartitionByRange(4, "key").sortWithinPartitions("key").write.option("parquet.block.size", 1 << 14).parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found, one = collect_counted(table.where("key = 'k00007'").groupBy("key").agg(F.sum("v").alias("v")))
+    _, every = collect_counted(table.groupBy("key").agg(F.sum("v").alias("v")).where("v >= 0"))
+    assert [r["v"] for r in found] == [7] and one.scans == every.scans == 1 and every.rows == 20000 and one.rows < every.rows and every.files == 4 and every.bytes > 0
+    assert collect_counted(spark.range(3))[1] == Reads()
