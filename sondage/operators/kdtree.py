@@ -146,6 +146,8 @@ def nearest_table(points: DataFrame, queries: DataFrame, dims: int) -> DataFrame
 
     least = F.min(F.struct("square", "point_id", "coords")).alias("b")
     first = asked.mapInPandas(lambda fs: visits(fs, False), "query_id long, coords array<double>, leaf int").checkpoint()
+    if len(leaf_of_box) <= 1:  # nowhere else to look
+        return answered(first).groupBy("query_id").agg(least).select("query_id", "b.point_id", "b.coords", F.sqrt("b.square").alias("distance"))
     near = answered(first).groupBy("query_id").agg(least).select("query_id", "b.square", F.col("b.point_id").alias("point_id"), F.col("b.coords").alias("at")).checkpoint()
     more = first.join(near, "query_id").mapInPandas(lambda fs: visits(fs, True), "query_id long, coords array<double>, leaf int")
     every = near.select("query_id", "square", "point_id", F.col("at").alias("coords")).unionByName(answered(more))
