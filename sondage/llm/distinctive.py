@@ -57,11 +57,12 @@ def distinctive_terms(weighted: DataFrame, prior_size: float = 1000.0, hot_share
     rows = join_key_stats(weighted, by_record, "doc_id", "terms", hot_share)
     total = by_record.agg(F.sum("_n").alias("n")).scalar()
     y, n, r, m = F.col("tf").cast("double"), F.col("_n").cast("double"), (F.col("term_tokens") - F.col("tf")).cast("double"), (total - F.col("_n")).cast("double")
-    a, a0 = F.lit(prior_size) * F.col("term_tokens") / total, F.lit(prior_size)
+    # of + a0 - hits - a with a0 - a taken from whole numbers, so that it is 0 for a single term only, however large the counts
+    a, others = F.lit(prior_size) * F.col("term_tokens") / total, F.lit(prior_size) * (total - F.col("term_tokens")) / total
 
     def odds(hits: Column, of: Column) -> Column:
-        rest = of + a0 - hits - a
-        return F.when(rest > 1e-9, F.log((hits + a) / rest))
+        rest = of - hits + others
+        return F.when(rest > 0, F.log((hits + a) / rest))
 
     log_odds = odds(y, n) - odds(r, m)
     z = F.col("log_odds") / F.sqrt(1 / (y + a) + 1 / (r + a))
@@ -71,12 +72,14 @@ def distinctive_terms(weighted: DataFrame, prior_size: float = 1000.0, hot_share
 def dominant_terms(weighted: DataFrame, share: float = 0.9, min_terms: int = 4) -> DataFrame:
     """(doc_id, term) of `weighted_terms` rows whose weight is at least `share` of the record's norm, in records of at least `min_terms` terms.
 
-    With a share above the root of 1/2 no two terms of a record can have it, so the heaviest one alone is in question and one
-    aggregate by record, partial before its shuffle, decides; nothing is joined back. Smaller shares are an error.
-    z-scores take no part: this share isn't a function of them, and no bound on z is sure to lose no row.
+    The rows are those of `distinctive_terms`: each term of each record is scored, log-odds and z included, then chosen by weight.
+    z chooses none, for the share isn't a function of it: a term that few records repeat very often can dominate one record and
+    yet be rarer there than elsewhere. But what comes out has been scored. That loses no row: z is NULL only in a collection of
+    a single term, where a record has that one term. With a share above the root of 1/2 no two terms of a record can have it;
+    smaller shares are an error.
     """
     if share <= 0.5**0.5:
         raise ValueError(f"share must exceed the root of 1/2, not {share}")
-    heaviest = F.max(F.struct("weight", "term")).alias("top")
-    by_record = weighted.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), heaviest)
-    return by_record.where((F.col("terms") >= min_terms) & (F.col("top.weight") >= F.lit(share) * F.col("norm"))).select("doc_id", "top.term")
+    scored = F.col("z").isNotNull() | (F.col("terms") == 1)
+    found = distinctive_terms(weighted).where(scored & (F.col("terms") >= min_terms) & (F.col("weight") >= F.lit(share) * F.col("norm")))
+    return found.select("doc_id", "term")

@@ -114,3 +114,25 @@ def test_subgroups_grow_with_the_log(spark, monkeypatch):
     monkeypatch.setattr(topn, "SUBGROUP_ROWS", 4)
     assert spark.range(1).select(topn.subgroups_for(df)).first()[0] == 100 and spark.range(1).select(topn.subgroups_for(df.limit(3))).first()[0] == 32
     assert [r["doc_id"] for r in champion_lists(df, 3).orderBy("rank").collect()] == [3, 7, 11]
+
+
+def test_dominant_terms_are_scored(spark, rows):
+    """log-odds and z are worked out for them, yet lose none: x is rarer in record 0, which it dominates, than elsewhere."""
+    data = [(t, d, 1) for d in range(400) for t in "abc"] + [("x", 0, 1), ("x", 1, 100_000), ("x", 2, 100_000)]
+    weighted = weighted_terms(log_of(spark, data), F.lit(400))
+    found = dominant_terms(weighted)
+    assert rows(found) == [(0, "x"), (1, "x"), (2, "x")]
+    assert distinctive_terms(weighted).where("doc_id = 0 AND term = 'x'").first()["z"] < -1.96
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT(((1.0 / " in plan and "1000.0" in plan  # the z-score's error, and the prior
+
+
+def test_scores_of_huge_collections(spark):
+    """A term that holds all but three of 3.2e12 tokens has a score too, where it is all that the rest has."""
+    data = [("t", d, 2**31 - 1, 1) for d in range(1500)] + [(t, 1500, 1, 1) for t in "tabc"]
+    scored = distinctive_terms(weighted_terms(spark.createDataFrame(data, "term string, doc_id long, tf int, seq long"), F.lit(1501)))
+    z = {r["term"]: r["z"] for r in scored.where("doc_id = 1500").collect()}
+    n, prior = 1500 * (2**31 - 1) + 4, 1000.0
+    a, rest = prior * (n - 3) / n, prior * 3 / n
+    log_odds = math.log((1 + a) / (3 + rest)) - math.log((n - 4 + a) / rest)
+    assert z["t"] == pytest.approx(log_odds / math.sqrt(1 / (1 + a) + 1 / (n - 4 + a))) and None not in z.values()
