@@ -113,22 +113,28 @@ def occurrences(suffixes: DataFrame, symbol: str, step: int = 1) -> DataFrame:
     step = max(1, step)
     before = occ_checkpoints(suffixes.withColumn("bwt", F.when(F.col("bwt") == symbol, F.col("bwt"))), step, symbols=[symbol]).select("text_id", "rank", "occ")
     at = suffixes.where(F.col("rank") % step == 0).select("text_id", "rank", (F.col("bwt") == symbol).cast("long").alias("here"))
-    return at.join(before, ["text_id", "rank"], "left").select("text_id", "rank", (F.coalesce("occ", F.lit(0)) + F.col("here")).alias("occ"))
+    return at.join(before.hint("merge"), ["text_id", "rank"], "left").select("text_id", "rank", (F.coalesce("occ", F.lit(0)) + F.col("here")).alias("occ"))
 
 
 def occ_checkpoints(suffixes: DataFrame, step: int = 32, symbols: Sequence[str] | None = None) -> DataFrame:
     """(text_id, rank, symbol, occ): for each block of `step` ranks how often each symbol of the text occurs before it; all symbols of the text, or those given.
 
-    Ranks count from 0 and the block's first one names it. Blocks are counted first, so that only their counts are summed up in order.
+    Ranks count from 0 and the block's first one names it. Blocks are counted first. A symbol's counts in order, and a last row that
+    marks the text's last block, each stand for the blocks since the row before, all of which have the same sum. So there is no
+    join, whose size a planner would take from the texts' table; rows grow by symbols and blocks. Rows without text_id have no result.
     """
     step = max(1, step)
-    start = (F.floor(F.col("rank") / step) * step).cast("int")
-    counts = suffixes.groupBy("text_id", start.alias("rank"), F.col("bwt").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    blocks = suffixes.where(F.col("rank") % step == 0).select("text_id", "rank")
+    rows = suffixes.where(F.col("text_id").isNotNull()).select("text_id", F.floor(F.col("rank") / step).alias("block"), F.col("bwt").alias("symbol"))
     if symbols is None:
-        known = counts.select("text_id", "symbol").distinct()
+        own = rows
+        known = rows.groupBy("text_id", "symbol").agg(F.max("block").alias("block"))
+        last = known.withColumn("block", F.max("block").over(W.partitionBy("text_id")))  # over a text's symbols, not its ranks
     else:
-        known = suffixes.select("text_id").distinct().select("text_id", F.explode(F.array(*[F.lit(x) for x in symbols])).alias("symbol"))
-    grid = blocks.join(known, "text_id").join(counts, ["text_id", "rank", "symbol"], "left")
-    before = W.partitionBy("text_id", "symbol").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    return grid.select("text_id", "rank", "symbol", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("occ"))
+        own = rows.where(F.col("symbol").isin(*symbols))
+        last = rows.groupBy("text_id").agg(F.max("block").alias("block")).withColumn("symbol", F.explode(F.array(*[F.lit(x) for x in symbols])))
+    counts = own.groupBy("text_id", "block", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    marked = counts.withColumn("end", F.lit(False)).unionByName(last.withColumns({"n": F.lit(0).cast("long"), "end": F.lit(True)}))
+    order = W.partitionBy("text_id", "symbol").orderBy("block", "end")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = marked.select("text_id", "symbol", "block", (F.lag("block", 1, -1).over(order) + 1).alias("first"), before.alias("occ")).where("first <= block")
+    return spans.withColumn("block", F.explode(F.sequence("first", "block"))).select("text_id", (F.col("block") * step).cast("int").alias("rank"), "symbol", "occ")

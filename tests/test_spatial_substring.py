@@ -85,3 +85,18 @@ def test_tables_of_the_transform(spark):
     assert {r["symbol"]: r["first"] for r in substring.c_array(sa).collect()} == {"\0": 0, "a": 1, "b": 4, "n": 5}
     assert {r["rank"]: r["occ"] for r in substring.occurrences(sa, "a", 2).collect()} == {0: 1, 2: 1, 4: 1, 6: 3}
     sa.unpersist()
+
+
+def test_checkpoints_send_no_table_to_the_driver(spark):
+    rng = random.Random(11)
+    items = ["banana", "", "aaaaaaaaaaa", *("".join(rng.choice("abcdeé") for _ in range(rng.randrange(60))) for _ in range(20))]
+    sa = substring.suffix_array(texts(spark, items))
+    bwt = {i: "".join((t + "\0")[p - 1] for p in suffixes(t)) for i, t in enumerate(items)}
+    for step in (1, 4, 100, 10**10):
+        at = [(i, b, t) for i, t in bwt.items() for b in range(0, len(t), step)]
+        every, given, own = substring.occ_checkpoints(sa, step), substring.occ_checkpoints(sa, step, ["a", "z"]), substring.occurrences(sa, "a", step)
+        assert sorted(map(tuple, every.collect())) == sorted((i, b, c, t[:b].count(c)) for i, b, t in at for c in set(t))
+        assert sorted(map(tuple, given.collect())) == sorted((i, b, c, t[:b].count(c)) for i, b, t in at for c in "az")
+        assert sorted(map(tuple, own.collect())) == sorted((i, b, t[: b + 1].count("a")) for i, b, t in at)
+        for df in (every, given, own):  # rows multiply after the scan, so a planner that goes by the scan's size would broadcast them
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
